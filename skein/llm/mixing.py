@@ -32,9 +32,11 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     w = w.withColumn("before", F.coalesce(F.sum("source_size").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = w.withColumn("weights", F.sum("weight").over(rise.rowsBetween(0, Window.unboundedFollowing))).withColumn("total", F.sum("source_size").over(every))
     w = w.withColumn("level", (F.col("total") - most * F.col("before")).cast("double") / F.col("weights").cast("double"))
-    w = w.withColumn("stops", F.col("level") * F.col("weight") > most * F.col("source_size"))
-    w = w.withColumn("free", F.min(F.when(~F.col("stops"), F.col("level"))).over(every))
-    level = F.when(F.col("stops"), (most * F.col("source_size")).cast("double")).otherwise(F.col("free") * F.col("weight"))
+    w = w.withColumn("place", F.row_number().over(rise))
+    first = F.min(F.when(F.col("level") * F.col("weight") <= most * F.col("source_size"), F.struct("place", "level"))).over(every)
+    w = w.withColumn("first", first)
+    stops = F.col("first").isNull() | (F.col("place") < F.col("first.place"))
+    level = F.when(stops, (most * F.col("source_size")).cast("double")).otherwise(F.col("first.level") * F.col("weight"))
     return w.select("source", "source_size", "weight", F.coalesce(level, F.lit(0.0)).alias("target"))
 
 
@@ -111,4 +113,29 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-OP6_SQL = None
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS mark FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+l AS (SELECT *, row_number() OVER r AS place,
+  (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+  / (sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM w WINDOW r AS (ORDER BY source_size / weight, source NULLS LAST)),
+f AS (SELECT min(place) AS place, arg_min(level, place) AS level FROM l WHERE level * weight <= 3 * source_size),
+t AS (SELECT source, source_size, greatest(1, ceil(source_size / 4000000))::BIGINT AS shards,
+  CASE WHEN f.place IS NULL OR l.place < f.place THEN (3 * source_size)::DOUBLE ELSE f.level * weight END AS target FROM l, f),
+b AS (SELECT greatest(1, floor(coalesce((SELECT min(target / shards) FROM t WHERE target > 0), 1) / 1000))::BIGINT AS block),
+n AS (SELECT floor((SELECT sum(source_size) FROM t) / block)::BIGINT AS seats, block FROM b),
+q AS (SELECT source, target / (2 * k + 1) AS quotient, k FROM t, n, LATERAL (SELECT unnest(range(0, ceil(1.1 * seats * target / (SELECT greatest(1, sum(target)) FROM t))::BIGINT + 5)) AS k) WHERE target > 0),
+won AS (SELECT source, count(*) AS blocks FROM (SELECT source, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, k) AS place FROM q) JOIN n ON place <= seats GROUP BY 1),
+g AS (SELECT t.*, coalesce(blocks, 0) AS blocks, block FROM t LEFT JOIN won ON t.source IS NOT DISTINCT FROM won.source, n),
+r AS (SELECT d.*, source_size, target, block, blocks, ('0x' || substr(mark, 1, 8))::BIGINT % shards AS shard FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+h AS (SELECT source, shard, sum(size) AS has, any_value(block) AS block, any_value(blocks) AS blocks FROM r GROUP BY ALL),
+hq AS (SELECT source, shard, blocks, has / (2 * k + 1) AS quotient, k FROM (SELECT *, sum(has) OVER (PARTITION BY source) AS total FROM h), LATERAL (SELECT unnest(range(0, ceil(1.1 * blocks * has / greatest(1, total))::BIGINT + 5)) AS k) WHERE has > 0),
+hw AS (SELECT source, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard, k) AS place FROM hq) WHERE place <= blocks GROUP BY ALL),
+c AS (SELECT h.source, h.shard, has::BIGINT AS has, least(least(coalesce(quota, 0), ceil(3 * has / block)::BIGINT) * block, 3 * has)::BIGINT AS takes FROM h LEFT JOIN hw ON h.source IS NOT DISTINCT FROM hw.source AND h.shard = hw.shard),
+e AS (SELECT r.*, greatest(has, 1) AS has, takes, ('0x' || substr(md5('17:place:' || coalesce(r.source, '') || ':' || r.shard), 1, 8))::BIGINT % greatest(has, 1) AS p,
+  sum(size) OVER (PARTITION BY r.source, r.shard ORDER BY mark, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS stop FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source AND r.shard = c.shard)
+SELECT doc_id, size, source_size, target, (takes // has * size
+  + greatest(0, least(stop, p + takes % has) - greatest(stop - size, p)) + greatest(0, least(stop, p + takes % has - has) - greatest(stop - size, 0)))::BIGINT AS taken FROM e
+"""
