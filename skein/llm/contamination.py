@@ -80,7 +80,7 @@ def _counts(shared, by_width: dict):
     return run
 
 
-def _find(shared):
+def _find(shared, keep):
     """Of each row: its words, and the spans of words and the items of the windows that occur."""
     schema = pa.schema([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
 
@@ -121,9 +121,8 @@ def _find(shared):
                         starts[i], ends[i] = b[new].tolist(), reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(b) - 1]])].tolist()
                         ids[i] = sorted({x for j in set(k[hit].tolist()) for x in items[j]})
                 out = pa.RecordBatch.from_arrays([pa.array(np.diff(words.bounds).astype(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, ends, ids))], schema=schema)
-                for name in batch.schema.names:
-                    if name != "text":
-                        out = out.append_column(name, batch.column(name))
+                for name in keep:
+                    out = out.append_column(name, batch.column(name))
                 yield out
 
     return run
@@ -162,8 +161,8 @@ def _blocks(items: DataFrame, words: int):
         yield ids, texts
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, starts, ends, items for each row of docs (doc_id, text): the merged spans of words that windows of items cover.
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, carry: tuple = ("doc_id",)) -> DataFrame:
+    """n_words, starts, ends, items and the columns to carry of each row of docs (doc_id, text): the merged spans of words that windows of items cover.
 
     A window is `window` consecutive words of an item (item_id, text), or a shorter item whole. One pass over all
     documents counts the items' shingles; each window's rarest one is its prefix, which a second pass
@@ -174,7 +173,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     """
     spark = docs.sparkSession
     ready(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(*carry, *({"text"} - {*carry}))
     parts = []
     for ids, texts in _blocks(items, block_words):
         windows = Windows(ids, texts, window, shingle)
@@ -187,26 +186,33 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         parts.append(spark.sparkContext.broadcast((_rarest(windows, counts), windows.word, windows.size, windows.items)))
     if not parts:
         parts.append(spark.sparkContext.broadcast(({}, np.zeros((0, window), np.uint64), np.zeros(0, np.int64), [])))
-    kind = "n_words long, starts array<long>, ends array<long>, items array<long>, doc_id long"
+    kind, types = "n_words long, starts array<long>, ends array<long>, items array<long>", dict(docs.dtypes)
+    kept = "".join(f", `{c}` {types[c]}" for c in carry)
     if len(parts) == 1:
-        return docs.mapInArrow(_find(parts[0]), kind).select("doc_id", "n_words", "starts", "ends", "items")
+        return docs.mapInArrow(_find(parts[0], carry), kind + kept)
     # A row's number in its partition of a table that stays as it is names it in every block's result.
-    fixed = staged(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    fixed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = None
     for part in parts:
-        some = staged(fixed.mapInArrow(_find(part), kind + ", row long"), "found")
+        some = staged(fixed.mapInArrow(_find(part, ("_row",)), kind + ", _row long"), "found")
         found = some if found is None else found.unionByName(some)
-    merged = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     empty = F.array().cast("array<struct<starts:bigint,ends:bigint>>")
     joined = F.aggregate("spans", empty, lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["ends"] >= s["starts"]), F.concat(
         F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], s["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(s))))
-    return merged.withColumn("spans", joined).select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+    merged = merged.withColumn("spans", joined).select("_row", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+    return merged.join(fixed.select("_row", *carry), "_row").drop("_row")
 
 
 def digest(found: DataFrame) -> DataFrame:
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs."""
+    return contamination(docs, items, carry=tuple(docs.columns), **how).where(F.size("starts") == 0).select(*docs.columns)
 
 
 def op10_contamination(spark, sf_dir: str) -> DataFrame:

@@ -109,6 +109,24 @@ def mix(docs: DataFrame, most: int = MOST, seed: int = SEED, shard_words: int =
     return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + rest).cast("long").alias("taken"), "mark")
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as the mix takes them, with all their columns: whole rounds as copies, and a cut one's words joined by single spaces.
+
+    docs must read the same rows in the same order each time, as a written table does: a row's number joins it to its part.
+    n_chars, if there, is that of the new text.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    taken = staged(mix(rows.select(F.col("_row").alias("doc_id"), "text", "source"), **how).where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "taken"), "taken")
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    piece = F.when(rest > 0, F.array(F.array_join(F.slice(words, 1, rest), " "))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat("text", F.floor(F.col("taken") / F.col("size")).cast("int")), piece)
+    out = rows.join(taken, "_row").withColumn("text", F.explode(texts))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -218,6 +218,20 @@ def _residual(full: DataFrame, labels: DataFrame, sets: DataFrame, reps: DataFra
     return pairs.mapInArrow(_verify_blocks(percent), "a long, b long").distinct()
 
 
+def without_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """One row of docs, with all its columns, of each group of near-duplicates: that of the smallest doc_id, and of its repeated rows one.
+
+    Texts move only for rows that are kept; rows whose id stands more than once are the only ones that are compared whole.
+    Of rows without an id that are alike only in that, all stay but equal ones.
+    """
+    ids = staged(near_duplicates(docs, **how).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    rows = docs.join(ids.withColumnRenamed("doc_id", "_id"), docs.doc_id.cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    named = F.col("doc_id").isNotNull()
+    repeated = rows.where(named & (F.col("_rows") > 1)).drop("_rows")
+    first = repeated.dropDuplicates(["doc_id"])
+    return rows.where(named & (F.col("_rows") == 1)).drop("_rows").union(first).union(rows.where(~named).drop("_rows").dropDuplicates(["text"]))
+
+
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
