@@ -93,10 +93,13 @@ def _sets(k: int):
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
+        once: set[int] = set()
         with np.errstate(over="ignore"):
             for batch, data, at in rows_of(batches, "text"):
                 sets = shingle_sets(Words(data, at, SPACED), k)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").cast(pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
+                # A repeated row is given once by each task.
+                new = [(r, x.tobytes()) for r, x in zip(batch.column("rep").to_pylist(), sets) if not (r in once or once.add(r))]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in new], pa.int64()), pa.array([x for _, x in new], pa.binary())], schema=schema)
 
     return run
 
@@ -134,7 +137,7 @@ def _verify_blocks(percent: int):
         for batch in batches:
             got = batch.to_pydict()
             links = []
-            for band, same, left, right in zip(got["band"], got["same"], got["left"], got["right"]):
+            for bucket, same, left, right in zip(got["bucket"], got["same"], got["left"], got["right"]):
                 find = {}
 
                 def root(v):
@@ -148,7 +151,7 @@ def _verify_blocks(percent: int):
                 bands, labels, sizes = np.stack([m[2] for m in rb]), np.array([m[1] for m in rb]), np.array([len(m[3]) for m in rb])
                 for i, m in enumerate(left):
                     x, mine = np.frombuffer(m["shingles"], np.uint64), np.array(m["bands"], np.int64)
-                    first = (bands == mine).argmax(1) == band
+                    first = bands[np.arange(len(bands)), (bands == mine).argmax(1)] == bucket
                     lengths = 100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x))
                     todo = first & lengths & (labels != m["label"])
                     if same:
@@ -178,15 +181,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     rows = staged(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     key = ["h1", "h2", "n_shingles"]
     classes = staged(rows.where("n_shingles > 0").groupBy(key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = rows.where("n_shingles > 0").join(classes, key).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands")
-    buckets = reps.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("band", "bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.min(F.struct("rep", "n"))["n"].alias("leader_n")).where("leader < last")
-    full = staged(buckets.join(shared, ["band", "bucket"]).select("rep", "n", "band", "bucket", "leader", "leader_n"), "buckets")
+    reps = rows.where("n_shingles > 0").join(classes, key).where("doc_id = rep").select("rep", "bands")
+    buckets = reps.select("rep", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader")
+    full = staged(buckets.join(shared, "bucket").select("rep", "bucket", "leader"), "buckets")
     nodes = full.select("rep").distinct()
     texts = docs.join(nodes, docs.doc_id == nodes.rep).select("rep", "text")
     sets = staged(texts.mapInArrow(_sets(k), "rep long, shingles binary").join(
-        classes.select("rep", F.col("n_shingles").alias("n")), "rep").where(F.octet_length("shingles") == 8 * F.col("n")).select("rep", "shingles").dropDuplicates(["rep"]), "sets")
-    stars = full.where(f"rep <> leader and 100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        classes.select("rep", (8 * F.col("n_shingles")).alias("bytes")), "rep").where(F.octet_length("shingles") == F.col("bytes")).select("rep", "shingles"), "sets")
+    stars = full.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     stars = stars.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     links = staged(stars.mapInArrow(_verify_pairs(percent), "a long, b long"), "stars")
     labels = components(links)
@@ -201,20 +204,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
 
 
 def _residual(full: DataFrame, labels: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one bucket whose components are still different, found block against block."""
-    marked = full.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", "band", "bucket", F.coalesce("label", "rep").alias("label"))
-    mixed = marked.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").drop("lo", "hi")
-    marked = staged(marked.join(mixed, ["band", "bucket"]).where("m > 1"), "mixed")
+    """Links between members of one bucket whose components are still different, found block against block; the leaders have met all."""
+    marked = full.where("rep <> leader").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label"))
+    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").drop("lo", "hi")
+    marked = staged(marked.join(mixed, "bucket").where("m > 1"), "mixed")
     # Members of one component stand in the same blocks as far as may be, so that blocks of only one need no comparing.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
     marked = marked.withColumn("block", F.when(F.col("m") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), blocks / 8).cast("int")) * 8 + F.pmod(F.xxhash64("rep"), F.lit(8))).cast("int"))
     need = marked.select("rep").distinct()
-    members = marked.join(sets.join(need, "rep", "semi"), "rep").join(reps.join(need, "rep", "semi").dropDuplicates(["rep"]).select("rep", "bands"), "rep")
-    blocked = staged(members.groupBy("band", "bucket", "block").agg(
+    members = marked.join(sets.join(need, "rep", "semi").dropDuplicates(["rep"]), "rep").join(reps.join(need, "rep", "semi").dropDuplicates(["rep"]).select("rep", "bands"), "rep")
+    blocked = staged(members.groupBy("bucket", "block").agg(
         F.collect_list(F.struct("rep", "label", "bands", "shingles")).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
-    a = blocked.toDF("band", "bucket", "i", "left", "lo", "hi")
-    b = blocked.toDF("band", "bucket", "j", "right", "lo2", "hi2")
-    pairs = a.join(b, ["band", "bucket"]).where("i <= j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("band", (F.col("i") == F.col("j")).alias("same"), "left", "right")
+    a = blocked.toDF("bucket", "i", "left", "lo", "hi")
+    b = blocked.toDF("bucket", "j", "right", "lo2", "hi2")
+    pairs = a.join(b, "bucket").where("i <= j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("bucket", (F.col("i") == F.col("j")).alias("same"), "left", "right")
     return pairs.mapInArrow(_verify_blocks(percent), "a long, b long").distinct()
 
 
