@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,54 +18,120 @@ from skein.llm.textvec import rows_of
 END = 1
 #: Ids of a file, but for a longer document, which is a file of its own.
 FILE_IDS = 2_000_000
-#: Words whose ids a worker remembers; then it starts anew.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker remembers; then it forgets those that it met once.
+CACHE_WORDS = 500_000
+#: Marks, which the tokenizer's own splitting parts from the letters or digits beside them.
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _loaded: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Places(dict):
+    """Where each word's ids stand; asking for a new one learns it."""
+
+    def __init__(self, owner: WordIds, known: dict) -> None:
+        super().__init__(known)
+        self.owner = owner
+
+    def __missing__(self, word: bytes) -> int:
+        return self.owner.learn(word)
+
+
 class WordIds:
-    """Ids of words, each encoded once. For tokenizers that drop white space and never join across it."""
+    """Ids of words, each encoded once. For tokenizers that lower-case, drop white space and never join across it.
+
+    Words are parts of the text between ASCII white space, lower-cased. A new word of Latin letters goes to the
+    tokenizer's merges at once, as its other steps leave such a word whole; marks after a letter or digit are words of
+    their own; anything else goes through all steps. So the ids are those of the whole text.
+    """
 
     def __init__(self, path: str, end: int, most: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end, most
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self._clear()
 
     def _clear(self) -> None:
-        self.place = {b" ": 0}  # no word: the end of a document
-        self.first, self.size = np.zeros(self.most + 1, np.int64), np.ones(self.most + 1, np.int64)
-        self.ids, self.used = np.full(1 << 20, self.end, np.uint32), 1
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for w, e in zip(words, found):
-            k = len(self.place)
-            if k >= len(self.first):
-                self.first, self.size = np.append(self.first, np.zeros(k, np.int64)), np.append(self.size, np.zeros(k, np.int64))
-            if self.used + len(e.ids) > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros(max(len(self.ids), len(e.ids)), np.uint32))
-            self.place[w], self.first[k], self.size[k] = k, self.used, len(e.ids)
-            self.ids[self.used : self.used + len(e.ids)] = e.ids
-            self.used += len(e.ids)
+        self.place = Places(self, {b" ": 0})  # no word: the end of a document
+        self.first, self.size, self.ids = array("q", [0]), array("q", [1]), array("I", [self.end])
+        self.used = np.zeros(self.most * 2, np.int32)
+
+    def _forget(self) -> None:
+        """Keeps the words that were met twice or more; counts are halved, so that words that no longer come go too."""
+        words, n = list(self.place), len(self.place)
+        keep = np.flatnonzero(self.used[:n] >= 2)
+        if len(keep) > self.most // 2:
+            return self._clear()
+        keep = np.union1d(keep, [0])
+        first, size, ids = (np.array(x) for x in (self.first, self.size, self.ids))
+        self.place = Places(self, {words[k]: i for i, k in enumerate(keep.tolist())})
+        size = size[keep]
+        end = np.cumsum(size)
+        at = np.repeat(first[keep] - (end - size), size) + np.arange(end[-1])
+        self.first, self.size, self.ids = array("q", (end - size).tobytes()), array("q", size.tobytes()), array("I", ids[at].astype(np.uint32).tobytes())
+        used = self.used[keep] // 2
+        self.used = np.zeros(self.most * 2, np.int32)
+        self.used[: len(keep)] = used
+
+    def _split(self, word: bytes) -> list[int]:
+        """A new word's ids."""
+        core = word.strip(_MARKS)
+        if core != word and core and b"<|" not in word:
+            head, tail = word[: word.index(core)], word[word.index(core) + len(core) :]
+            # An apostrophe before letters may belong to them; bytes of longer characters may be marks themselves.
+            if (not head or (core[:1].isalnum() and head[-1:] != b"'")) and (not tail or core[-1:].isalnum()):
+                return [i for part in (head, core, tail) if part for i in self._of(part)]
+        if word.isalpha():
+            return self._whole(word)
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0250" and (low := text.lower()).isalpha() and max(low) < "\u0250":
+            return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
+        return self._whole(word)
+
+    def _whole(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+    def _of(self, word: bytes) -> array:
+        k = self.place[word]
+        return self.ids[self.first[k] : self.first[k] + self.size[k]]
+
+    def learn(self, word: bytes) -> int:
+        """The place of a word that isn't known yet."""
+        ids = [t.id for t in self.model.tokenize(word.decode("ascii"))] if word.isalpha() and word.islower() else self._split(word)
+        k = len(self.first)
+        self.place[word] = k
+        self.first.append(len(self.ids))
+        self.size.append(len(ids))
+        self.ids.extend(ids)
+        return k
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and how many each has."""
         flat, count = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            words = text.split()
+            words = (text if b"<|" in text else text.lower()).split()
             flat += words
             flat.append(b" ")
             count[i] = len(words) + 1
         if len(self.place) > self.most:
-            self._clear()
-        new = list(set(flat).difference(self.place))
-        if new:
-            self._learn(new)
+            self._forget()
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        size = self.size[at]
+        n = len(self.first)
+        if n > len(self.used):
+            self.used = np.append(self.used, np.zeros(n, np.int32))
+        self.used[:n] += np.bincount(at, minlength=n).astype(np.int32)
+        first, known, store = (np.frombuffer(x, x.typecode) for x in (self.first, self.size, self.ids))
+        size = known[at]
         end = np.cumsum(size)
-        ids = self.ids[np.repeat(self.first[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        ids = store[np.repeat(first[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        del first, known, store  # the arrays can't grow while they are looked at
         last = np.cumsum(count) - 1
         return ids, np.diff(end[last], prepend=0)
 
