@@ -19,7 +19,7 @@ END = 1
 #: Ids of a file, but for a longer document, which is a file of its own.
 FILE_IDS = 2_000_000
 #: Words whose ids a worker remembers; then it forgets those that it met once.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Marks, which the tokenizer's own splitting parts from the letters or digits beside them.
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _loaded: dict = {}
