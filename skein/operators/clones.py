@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-count = F.count("*")
 #: Rarely shared keys make near pairs: those in 2 to 30 bodies.
 POST_CAP = 30
 
@@ -16,22 +15,22 @@ def words(text: Column) -> Column:
 
 def exact(bodies: DataFrame, key: str = "body") -> DataFrame:
     """Groups of bodies (id, body) that are equal: how many, and the first."""
-    return bodies.where(F.col(key).isNotNull()).groupBy(F.sha2(key, 256).alias("hash")).agg(count.alias("size"), F.min("id").alias("first")).where("size > 1")
+    return bodies.where(F.col(key).isNotNull()).groupBy(F.sha2(key, 256).alias("hash")).agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
 
 
 def blocks(rows: DataFrame, length: int = 3) -> DataFrame:
     """Runs of `length` rows (id, lines) that stand in several bodies: how many places and bodies, and the first."""
     runs = rows.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("lines") - length + 1)), lambda i: F.when(F.size("lines") >= length, F.sha2(F.array_join(F.slice("lines", i, length), "\n"), 256)))).alias("at", "run")).where("run is not null")
-    return runs.groupBy("run").agg(count.alias("n_places"), F.countDistinct("id").alias("n_bodies"), F.min("id").alias("first")).where("n_bodies > 1")
+    return runs.groupBy("run").agg(F.count("*").alias("n_places"), F.countDistinct("id").alias("n_bodies"), F.min("id").alias("first")).where("n_bodies > 1")
 
 
 def near(keys: DataFrame, least: int = 2) -> DataFrame:
     """(a, b, shared) of bodies that share at least `least` keys (id, key) found in 2 to 30 bodies, so no key makes many pairs."""
-    rare = keys.distinct().groupBy("key").agg(count.alias("n")).where(F.col("n").between(2, POST_CAP)).select("key")
+    rare = keys.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, POST_CAP)).select("key")
     k = keys.distinct().join(rare, "key")
-    return k.alias("x").join(k.alias("y"), "key").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(count.alias("shared")).where(F.col("shared") >= least)
+    return k.alias("x").join(k.alias("y"), "key").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def postings(mentions: DataFrame) -> DataFrame:
     """Of each name (file, name): in how many files, the first and the last."""
-    return mentions.distinct().groupBy("name").agg(count.alias("n_files"), F.min("file").alias("first"), F.max("file").alias("last"))
+    return mentions.distinct().groupBy("name").agg(F.count("*").alias("n_files"), F.min("file").alias("first"), F.max("file").alias("last"))

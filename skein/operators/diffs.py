@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-count = F.count("*")
-
 
 def edge_diff(before: DataFrame, after: DataFrame, key: list[str], signature: str) -> DataFrame:
     """Keys that were added, removed, or changed: of which the multiset of signatures differs."""
@@ -30,8 +28,8 @@ def coupling(touched: DataFrame, least: int = 2) -> DataFrame:
     mass edits and are left to the caller to filter.
     """
     t = touched.distinct()
-    solo = t.groupBy(F.col("symbol").alias("a")).agg(count.alias("solo"))
-    pairs = t.alias("x").join(t.alias("y"), "commit").where("x.symbol < y.symbol").groupBy(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b")).agg(count.alias("together")).where(F.col("together") >= least)
+    solo = t.groupBy(F.col("symbol").alias("a")).agg(F.count("*").alias("solo"))
+    pairs = t.alias("x").join(t.alias("y"), "commit").where("x.symbol < y.symbol").groupBy(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b")).agg(F.count("*").alias("together")).where(F.col("together") >= least)
     return pairs.join(solo, "a").select("a", "b", "together", (F.col("together") / F.col("solo")).alias("confidence"))
 
 
@@ -45,13 +43,13 @@ def ledger(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
 
 def pair_audit(acquired: DataFrame, released: DataFrame) -> DataFrame:
     """Keys (key, n) acquired but not released, and the reverse."""
-    both = acquired.groupBy("key").agg(count.alias("n_acquired")).join(released.groupBy("key").agg(count.alias("n_released")), "key", "full").fillna(0)
+    both = acquired.groupBy("key").agg(F.count("*").alias("n_acquired")).join(released.groupBy("key").agg(F.count("*").alias("n_released")), "key", "full").fillna(0)
     return both.select("key", "n_acquired", "n_released", F.when(F.col("n_released") == 0, "acquired-not-released").when(F.col("n_acquired") == 0, "released-not-acquired").otherwise("paired").alias("finding"))
 
 
 def link(left: DataFrame, right: DataFrame) -> DataFrame:
     """(n_left, n_linked, n_dangling, n_ambiguous, max_fan, is_function) of keys on two sides; null keys are unreadable and don't dangle."""
-    l, r = (d.where("key is not null").groupBy("key").agg(count.alias(n)) for d, n in ((left, "nl"), (right, "nr")))
+    l, r = (d.where("key is not null").groupBy("key").agg(F.count("*").alias(n)) for d, n in ((left, "nl"), (right, "nr")))
     j = l.join(r, "key", "left").fillna(0, ["nr"])
     unread = left.agg(F.count(F.when(F.col("key").isNull(), 1)).alias("n_unreadable"))
     out = j.agg(F.sum("nl").alias("n_left"), F.sum(F.when(F.col("nr") > 0, F.col("nl")).otherwise(0)).alias("n_linked"), F.sum(F.when(F.col("nr") == 0, F.col("nl")).otherwise(0)).alias("n_dangling"), F.count(F.when((F.col("nl") > 1) & (F.col("nr") > 1), 1)).alias("n_ambiguous"), F.max("nr").alias("max_fan"))
@@ -69,4 +67,4 @@ def confirm(calls: DataFrame, observed: DataFrame) -> DataFrame:
 def transitions(events: DataFrame, by: str, order: list[str], state: str) -> DataFrame:
     """(source, target, n) between consecutive states of each group."""
     before = F.lag(state).over(Window.partitionBy(by).orderBy(*order))
-    return events.select(before.alias("source"), F.col(state).alias("target")).where("source is not null").groupBy("source", "target").agg(count.alias("n"))
+    return events.select(before.alias("source"), F.col(state).alias("target")).where("source is not null").groupBy("source", "target").agg(F.count("*").alias("n"))

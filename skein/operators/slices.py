@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from skein.sources.graph import TIERS, Graph, tier_rank
 
-count = F.count("*")
-
 
 def tier_name(rank):
     return F.element_at(F.array(*[F.lit(t) for t in TIERS]), rank.cast("int"))
@@ -33,20 +31,20 @@ def disposition():
 
 
 def census_calls(calls: DataFrame) -> DataFrame:
-    return calls.groupBy(disposition().alias("disposition"), F.coalesce("rule", F.lit("none")).alias("rule")).agg(count.alias("n_calls"), F.countDistinct("callee").alias("n_callees"))
+    return calls.groupBy(disposition().alias("disposition"), F.coalesce("rule", F.lit("none")).alias("rule")).agg(F.count("*").alias("n_calls"), F.countDistinct("callee").alias("n_callees"))
 
 
 def ladder(graph: Graph) -> DataFrame:
     """Rungs of calls: a resolved call's is its edge's tier (matched shows as linked), else dynamic, refused or frontier."""
     edge = graph.edges.where("kind = 'ref'").select(F.col("src").alias("fn"), F.col("dst").alias("target"), "tier")
     rung = F.when(F.col("target").isNotNull(), F.when(F.col("tier") == "matched", "linked").otherwise(F.coalesce("tier", F.lit("linked")))).when(F.col("rule").isNotNull(), "refused").otherwise("frontier")
-    return graph.calls.join(edge, ["fn", "target"], "left").groupBy(rung.alias("rung")).agg(count.alias("n_calls"))
+    return graph.calls.join(edge, ["fn", "target"], "left").groupBy(rung.alias("rung")).agg(F.count("*").alias("n_calls"))
 
 
 def externals(calls: DataFrame) -> DataFrame:
     """Unresolved callees by why: ambiguous is several inside, blocked another scope, the rest external."""
     why = F.when(F.col("rule") == "ambiguous", "internal_multi").when(F.col("rule") == "blocked", "cross_scope").otherwise("external")
-    return calls.where("target is null").groupBy("callee", why.alias("bucket")).agg(count.alias("n_calls"), F.countDistinct("file").alias("n_files"))
+    return calls.where("target is null").groupBy("callee", why.alias("bucket")).agg(F.count("*").alias("n_calls"), F.countDistinct("file").alias("n_files"))
 
 
 def heat(nodes: DataFrame, refs: DataFrame) -> DataFrame:
@@ -68,7 +66,7 @@ def atlas(uses: DataFrame) -> DataFrame:
 
 def layering(edges: DataFrame, layers: DataFrame) -> DataFrame:
     """(a, b, forward, backward, violation) of unordered pairs of layers from the dominant side; a minority of a quarter or less violates."""
-    lay = edges.join(layers.toDF("src", "la"), "src").join(layers.toDF("dst", "lb"), "dst").where("la <> lb").groupBy("la", "lb").agg(count.alias("n"))
+    lay = edges.join(layers.toDF("src", "la"), "src").join(layers.toDF("dst", "lb"), "dst").where("la <> lb").groupBy("la", "lb").agg(F.count("*").alias("n"))
     low = lay.groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.coalesce(F.sum(F.when(F.col("la") < F.col("lb"), F.col("n"))), F.lit(0)).alias("ab"), F.coalesce(F.sum(F.when(F.col("la") > F.col("lb"), F.col("n"))), F.lit(0)).alias("ba"))
     turn = F.col("ba") > F.col("ab")
     f, b = F.greatest("ab", "ba"), F.least("ab", "ba")
@@ -77,7 +75,7 @@ def layering(edges: DataFrame, layers: DataFrame) -> DataFrame:
 
 def percentiles(df: DataFrame, by: str, value: str, ps=(50, 90, 99)) -> DataFrame:
     """Nearest-rank percentiles in each group."""
-    return df.groupBy(by).agg(count.alias("n"), *[F.expr(f"percentile_disc({p / 100}) within group (order by {value})").alias(f"p{p}") for p in ps])
+    return df.groupBy(by).agg(F.count("*").alias("n"), *[F.expr(f"percentile_disc({p / 100}) within group (order by {value})").alias(f"p{p}") for p in ps])
 
 
 def unreferenced(nodes: DataFrame, refs: DataFrame) -> DataFrame:
