@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skein.llm import ann, contamination, license_scan, mixing, near, token_files, toxicity, url_filter, warc
+from skein.llm import ann, contamination, license_scan, mixing, near, quotes, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_quote_links": quotes.op3_quote_links,
     "op4_near_duplicates": near.op4_near_duplicates,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
