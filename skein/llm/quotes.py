@@ -8,6 +8,35 @@ from pyspark.sql import functions as F
 from skein.llm.shared import table
 
 _MARKS = r"^\s*((?:>\s?)+)"
+#: Turns of a conversation that are looked at together; a longer one spans several tasks.
+BLOCK = 4096
+_COUNTS = ("n_quoted", "n_linked", "max_level")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """The distinct hashed passages of each message, with their quote level: 0 for what the message says itself."""
+    line = F.col("line")
+    level = F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), "[^>]", ""))
+    passage = F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), r"\s+", " "))
+    lines = rows.select("conv_id", "turn", "m", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.select("conv_id", "turn", "m", level.alias("level"), passage.alias("passage")).where("passage <> ''")
+    return lines.select("conv_id", "turn", "m", "level", F.xxhash64("passage").alias("h")).distinct()
+
+
+def _sources(lines: DataFrame) -> DataFrame:
+    """(conv_id, h, turn, source): of each turn that quotes a passage, the latest earlier turn that says it.
+
+    Turns are looked at in blocks, and blocks carry the latest turn that says the passage to those after
+    them, so that no task sorts all the turns of one line.
+    """
+    said = lines.groupBy("conv_id", "h", "turn").agg(F.max(F.when(F.col("level") == 0, F.col("turn"))).alias("said"), F.max(F.col("level") > 0).alias("quotes"))
+    said = said.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    blocks = said.groupBy("conv_id", "h", "block").agg(F.max("said").alias("last"), F.max("quotes").alias("quotes"))
+    before = Window.partitionBy("conv_id", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.max("last").over(before)).where("quotes").select("conv_id", "h", "block", "before")
+    inside = Window.partitionBy("conv_id", "h", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    near = said.withColumn("near", F.max("said").over(inside)).where("quotes")
+    return near.join(blocks, ["conv_id", "h", "block"]).select("conv_id", "h", "turn", F.coalesce("near", "before").alias("source"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
@@ -20,18 +49,15 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     stay rows; other columns are ignored.
     """
     rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("m", F.xxhash64("text"))
-    line = F.col("line")
-    lines = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", "m", F.explode(F.split("text", "\n")).alias("line"))
-    level = F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), "[^>]", ""))
-    passage = F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), r"\s+", " "))
-    lines = lines.select("conv_id", "turn", "m", level.alias("level"), passage.alias("passage")).where("passage <> ''")
-    lines = lines.select("conv_id", "turn", "m", "level", F.xxhash64("passage").alias("h")).distinct()
-    before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    linked = lines.withColumn("source", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(before)).where("level > 0")
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    lines = _lines(rows.where(placed))
+    linked = lines.where("level > 0").join(_sources(lines), ["conv_id", "h", "turn"])
     per = linked.groupBy("conv_id", "turn", "m").agg(F.count("*").alias("n_quoted"), F.count("source").alias("n_linked"), F.max("level").cast("int").alias("max_level"), F.max("source").alias("reply_to"))
     reply = F.trim(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(_MARKS)), "\n"))
-    out = rows.withColumn("reply", reply).join(per, ["conv_id", "turn", "m"], "left")
-    return out.select("conv_id", "turn", "role", "reply", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_quoted", "n_linked", "max_level")], "reply_to")
+    rows = rows.withColumn("reply", reply)
+    # Rows without a place stay out of the join, where their nulls would meet in one task.
+    out = rows.where(placed).join(per, ["conv_id", "turn", "m"], "left").unionByName(rows.where(~placed), allowMissingColumns=True)
+    return out.select("conv_id", "turn", "role", "reply", *[F.coalesce(c, F.lit(0)).alias(c) for c in _COUNTS], "reply_to")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
