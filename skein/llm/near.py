@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     stars = stars.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     links = staged(stars.mapInArrow(_verify_pairs(percent), "a long, b long"), "stars")
     labels = components(links)
-    rest = staged(_residual(full, labels, sets, reps, percent), "rest")
+    rest = _residual(full, labels, sets, reps, percent)
     if not rest.isEmpty():
         labels = components(links.union(rest))
     found = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component"))
@@ -218,7 +218,10 @@ def _residual(full: DataFrame, labels: DataFrame, sets: DataFrame, reps: DataFra
     a = blocked.toDF("bucket", "i", "left", "lo", "hi")
     b = blocked.toDF("bucket", "j", "right", "lo2", "hi2")
     pairs = a.join(b, "bucket").where("i <= j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("bucket", (F.col("i") == F.col("j")).alias("same"), "left", "right")
-    return pairs.mapInArrow(_verify_blocks(percent), "a long, b long").distinct()
+    found = staged(pairs.mapInArrow(_verify_blocks(percent), "a long, b long").distinct(), "rest")
+    for x in (blocked, marked):
+        drop(x)
+    return found
 
 
 def without_duplicates(docs: DataFrame, **how) -> DataFrame:
