@@ -13,6 +13,8 @@ from skein.llm.shared import ready, staged, table
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 8192, 32, 64, 240, 1.2
 #: Nodes that a search starts from beside the first, spread over all, as one may be far from some queries.
 STARTS = 16
+#: Nodes of a beam that a step expands.
+WIDE = 4
 #: Queries that are searched side by side, and queries of a block.
 SIDE, QUERY_BLOCK = 256, 4096
 
@@ -26,7 +28,8 @@ def lift(x: np.ndarray) -> np.ndarray:
 def beam_search(x: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each query the `beam` nearest nodes that greedy search meets, nearest first, -1 where fewer, and their squared distances.
 
-    All queries walk side by side: each step expands the nearest node of each beam that isn't expanded yet, until none is left.
+    All queries walk side by side: each step expands the nearest nodes of each beam that aren't expanded yet, until none is left.
+    Only nodes that a query hasn't met are measured.
     """
     m = len(queries)
     square = np.einsum("nd,nd->n", x, x)
@@ -37,21 +40,29 @@ def beam_search(x: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarra
     d = square[first] + own[:, None] - 2 * queries @ x[first].T
     order = np.argsort(d, 1, kind="stable")
     ids[:, : len(first)], dist[:, : len(first)] = first[order], np.take_along_axis(d, order, 1)
+    # The last column stands for missing edges; place tells the first of a step's equal neighbours from the others.
+    met, place = np.zeros((m, len(x) + 1), bool), np.zeros((m, len(x) + 1), np.int16)
+    met[:, first] = met[:, -1] = True
+    column = np.arange(WIDE * edges.shape[1], dtype=np.int16)
     active = np.arange(m)
     while len(active):
         todo = ~done[active] & (ids[active] >= 0)
-        active = active[todo.any(1)]
+        some = todo.any(1)
+        active, todo = active[some], todo[some]
         if not len(active):
             break
-        todo = todo[todo.any(1)]
-        slot = todo.argmax(1)
-        node = ids[active, slot]
-        done[active, slot] = True
-        near = edges[node]
-        mine = ids[active]
-        new = (near >= 0) & ~(near[:, :, None] == mine[:, None, :]).any(2)
-        d = square[near] + own[active, None] - 2 * np.einsum("mrd,md->mr", x[near], queries[active])
-        d[~new] = np.inf
+        mine, turn = ids[active], np.cumsum(todo, 1)
+        row, slot = np.nonzero(todo & (turn <= WIDE))
+        node = np.full((len(active), WIDE), -1, np.int32)
+        node[row, turn[row, slot] - 1] = mine[row, slot]
+        done[active[row], slot] = True
+        near = np.where(node[:, :, None] >= 0, edges[node], -1).reshape(len(active), -1)
+        side = active[:, None]
+        place[side, near] = column
+        row, slot = np.nonzero(~met[side, near] & (place[side, near] == column))
+        met[side, near] = True
+        d, to, of = np.full(near.shape, np.inf, np.float32), near[row, slot], active[row]
+        d[row, slot] = square[to] + own[of] - 2 * np.einsum("nd,nd->n", x[to], queries[of])
         every = np.concatenate([dist[active], d], 1)
         order = np.argsort(every, 1, kind="stable")[:, :beam]
         dist[active] = np.take_along_axis(every, order, 1)
