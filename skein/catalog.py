@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import near_cap, osa_distance
 from skein.operators import clones, diffs, reach, slices
+from skein.operators.registries import near_pairs
 from skein.plans.rules import Rule, saturate
 from skein.sources.graph import from_star, invalid, table, trade
 from skein.streaming.windows import windowed
@@ -361,6 +361,4 @@ def impact(spark, sf):
 
 @query("SELECT a.n_name AS name, b.n_name AS near, damerau_levenshtein(a.n_name, b.n_name)::INT AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE damerau_levenshtein(a.n_name, b.n_name) <= CASE WHEN length(a.n_name) >= 5 THEN 2 ELSE 1 END")
 def near_names(spark, sf):
-    n = table(spark, sf, "nation")
-    near = n.alias("a").join(n.alias("b"), F.col("a.n_nationkey") < F.col("b.n_nationkey")).select(F.col("a.n_name").alias("name"), F.col("b.n_name").alias("near"))
-    return near.withColumn("distance", osa_distance("name", "near")).where(F.col("distance") <= near_cap(F.col("name")))
+    return near_pairs(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
