@@ -32,7 +32,7 @@ def last_before(rows: DataFrame, by: str, part: Column, order: list[str], value:
     """rows with `last`: the latest non-null value of an earlier row of the same `by`.
 
     `part` must rise with the order. Rows are ordered within parts only, and one row a part carries the last value on,
-    so a `by` that holds a large share of all rows is many tasks' work.
+    so a `by` that holds a large share of all rows is many tasks' work. Rows without `by` stay, with no last value.
     """
     rows = rows.withColumn("_part", part).withColumn("_value", value)
     inside = Window.partitionBy(by, "_part").orderBy(*order)
@@ -41,7 +41,7 @@ def last_before(rows: DataFrame, by: str, part: Column, order: list[str], value:
     over = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(by, "_part", F.last("_end", ignorenulls=True).over(over).alias("_carried"))
     here = F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_here", here).join(carried, [by, "_part"]).withColumn("last", F.coalesce("_here", "_carried")).drop("_part", "_value", "_here", "_carried")
+    return rows.withColumn("_here", here).join(carried, [by, "_part"], "left").withColumn("last", F.when(F.col(by).isNotNull(), F.coalesce("_here", "_carried"))).drop("_part", "_value", "_here", "_carried")
 
 
 def file_roles(files: DataFrame, imports: DataFrame, refs: DataFrame) -> DataFrame:

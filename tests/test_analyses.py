@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from skein import analyses
 from skein.operators import flow, registries, scopes
@@ -74,3 +75,9 @@ def test_near_names_find_swaps_and_families_follow_chains(spark):
 def test_loops_of_calls_raise(spark):
     with pytest.raises(RuntimeError):
         flow.loop_depth(spark.createDataFrame([("a", 0), ("b", 0)], "fn string, own int"), spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, loops int"), rounds=5)
+
+
+def test_last_value_crosses_parts_and_rows_without_an_owner_stay(spark):
+    r = spark.createDataFrame([("u", 1, 1, "a"), ("u", 1, 2, None), ("u", 2, 3, None), ("u", 4, 4, "b"), ("u", 4, 5, None), (None, 1, 6, "c"), (None, 1, 7, None)], "u string, p int, t int, v string")
+    got = scopes.last_before(r, "u", F.col("p"), ["t"], F.col("v")).select("t", "last")
+    assert rows(got) == {(1, None), (2, "a"), (3, "a"), (4, "a"), (5, "b"), (6, None), (7, None)}
