@@ -166,7 +166,7 @@ def _verify_blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); other columns are ignored.
 
     Documents whose k-word shingle sets have similarity of percent / 100 or more are linked; component_id is the smallest
@@ -239,7 +239,7 @@ def without_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 OP4_SQL = r"""
