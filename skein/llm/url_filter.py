@@ -10,6 +10,8 @@ from skein.llm.shared import staged, table
 #: Fixed rules: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 ROUNDS, DAMPING = 8, 0.85
+#: Rounds are of the SQL only; the operator goes on until verdicts are settled, and raises after LIMIT rounds. TIE: masses that differ by less are equal.
+LIMIT, STEP, TIE = 4000, 4, 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"""(?i)href\s*=\s*["'](?:https?:)?//([^"'/?#\s]+)"""
 
@@ -31,29 +33,56 @@ def rule_of(host: Column, path: Column, rules: list[tuple] = RULES) -> tuple[Col
     return name, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def _open(state: DataFrame, damping: float) -> bool:
+    """Whether any host's verdict can still change.
+
+    Masses only grow, and all that a kind still adds to a host is at most its last step's sum times damping / (1 - damping).
+    Hosts that no round has met yet are open as long as a round meets new ones.
+    """
+    last = state.groupBy("kind").agg(F.sum("step").alias("step"), F.max(~F.col("old")).alias("new")).collect()
+    more = {r.kind: r.step * damping / (1 - damping) for r in last}
+    if any(r.new for r in last):
+        return True
+    trust, distrust = more.get("trust", 0.0), more.get("distrust", 0.0)
+    hosts = _masses(state).withColumn("most", F.greatest("trust", "distrust"))
+    line = F.col("trust") * (1 + TIE)
+    settled = (F.col("distrust") > line + trust * (1 + TIE)) | (F.col("distrust") + distrust <= line) | (F.lit(max(trust, distrust)) <= F.col("most") * (TIE / 1000))
+    return not hosts.where(~settled).isEmpty()
+
+
+def _masses(state: DataFrame) -> DataFrame:
+    mass = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
+    return state.groupBy("host").agg(mass("trust"), mass("distrust"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, limit: int = LIMIT, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank: trust along edges (src, dst, w), distrust against them.
 
-    seeds: (host, kind, mass), kind 'trust' or 'distrust'; each round keeps 1 - damping of it, and hosts pass the rest
-    on by the weights of their edges; what a host without edges would pass on ends there. Both run as one table;
-    a round is an equi-join and a partial sum by host, written to the shared folder every other round.
+    seeds: (host, kind, mass), kind 'trust' or 'distrust'; 1 - damping of it stays, and each round hosts pass on what the last
+    one brought them, by the weights of their edges; what a host without edges would pass on ends there. Both run as one table;
+    a round is an equi-join and a partial sum by host, written to the shared folder every few rounds, which end once what is
+    still to come can't change whether distrust exceeds trust at any host. After `limit` rounds without that a RuntimeError is raised.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "w").union(edges.select(F.lit("distrust"), "dst", "src", "w"))
     sums = both.groupBy("kind", "host").agg(F.sum("w").alias("all"))
     both = staged(both.join(sums, ["kind", "host"]).select("kind", "host", "to", (F.col("w") / F.col("all")).alias("share")), "edges")
-    seeds = staged(seeds.select("kind", "host", F.col("mass").cast("double").alias("mass")), "seeds")
-    rank = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-    keep = rank
-    for k in range(0 if both.isEmpty() else rounds):
-        moved = rank.join(both, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        rank = keep.union(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if k % 2:
-            rank = staged(rank, "ranks")
-    mass = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)), 9).alias(kind)
-    return rank.groupBy("host").agg(mass("trust"), mass("distrust"))
-
-
-def judge(pages: DataFrame, rules: list[tuple] = RULES, rounds: int = ROUNDS) -> DataFrame:
+    kept = F.col("mass").cast("double") * (1 - damping)
+    state = staged(seeds.select("kind", "host", kept.alias("mass"), kept.alias("step"), F.lit(True).alias("old")), "seeds")
+    rounds, more = 0, not both.isEmpty()
+    while more:
+        if rounds >= limit:
+            raise RuntimeError(f"verdicts of hosts are still open after {rounds} rounds")
+        for _ in range(min(STEP, limit - rounds)):
+            moved = state.where("step > 0").join(both, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("step") * F.col("share") * damping).alias("mass"))
+            both_ways = state.select("kind", "host", "mass", F.lit(0.0).alias("step"), F.lit(True).alias("old")).union(moved.select("kind", "host", "mass", "mass", F.lit(False)))
+            state = both_ways.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("step").alias("step"), F.max("old").alias("old"))
+            rounds += 1
+        state = staged(state, "ranks")
+        more = _open(state, damping)
+    return _masses(state)
+
+
+def judge(pages: DataFrame, rules: list[tuple] = RULES, limit: int = LIMIT) -> DataFrame:
     """page_id, host, path, rule and verdict for each row of pages (page_id, url, html).
 
     The longest rule that fits decides. A host of which rules allow more than half of the pages is trusted, one of
@@ -72,8 +101,8 @@ def judge(pages: DataFrame, rules: list[tuple] = RULES, rounds: int = ROUNDS) ->
     share = lambda v: F.count(F.when(F.col("verdict") == v, 1)) / F.count("*")
     hosts = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
     seeds = hosts.select("host", F.when(F.col("allowed") > 0.5, "trust").when(F.col("blocked") > 0.5, "distrust").alias("kind"), F.lit(1.0).alias("mass")).where("kind is not null")
-    masses = propagate(edges, seeds, rounds)
-    bad = staged(masses.where("distrust > trust").select("host"), "bad").withColumn("bad", F.lit(True))
+    masses = propagate(edges, seeds, limit)
+    bad = staged(masses.where(F.col("distrust") > F.col("trust") * (1 + TIE)).select("host"), "bad").withColumn("bad", F.lit(True))
     out = ruled.drop("html").join(bad, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
