@@ -272,8 +272,25 @@ def clones_blocks(spark, sf):
 @query(""", k AS (SELECT DISTINCT doc_id AS id, trim(unnest(string_split(text, chr(10))), ' ') AS key FROM documents), rare AS (SELECT key FROM k WHERE key <> '' GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30)
 SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN rare USING (key) JOIN k y ON x.key = y.key AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2""")
 def clones_near(spark, sf):
-    keys = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("key")).select("id", F.trim("key").alias("key")).where("key <> ''")
-    return clones.near(keys)
+    return clones.near(_line_keys(spark, sf))
+
+
+_LINES = ", k AS (SELECT DISTINCT id, key FROM (SELECT doc_id AS id, trim(unnest(string_split(text, chr(10))), ' ') AS key FROM documents) WHERE key <> ''), kn AS (SELECT id, key, n FROM k JOIN (SELECT key, count(*) AS n FROM k GROUP BY 1 HAVING count(*) > 1) USING (key))"
+
+
+def _line_keys(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("key")).select("id", F.trim("key").alias("key")).where("key <> ''")
+
+
+@query(_LINES + """, blind AS (SELECT id FROM kn GROUP BY 1 HAVING min(n) > 30), r AS (SELECT id, key FROM kn WHERE n <= 30 OR (n <= 64 AND key IN (SELECT key FROM kn JOIN blind USING (id) WHERE n <= 64)))
+SELECT x.id AS a, y.id AS b, count(*) AS shared FROM r x JOIN r y ON x.key = y.key AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2 OR x.id IN (SELECT id FROM blind) OR y.id IN (SELECT id FROM blind)""")
+def clones_near_rescued(spark, sf):
+    return clones.near_rescued(_line_keys(spark, sf))
+
+
+@query(_LINES + ", s AS (SELECT id, list_sort(list(key)) AS keys FROM kn WHERE n > 30 GROUP BY 1), c AS (SELECT keys, min(id) AS class, count(*) AS size FROM s GROUP BY 1 HAVING count(*) > 1) SELECT id, class, size, len(keys)::BIGINT AS n_keys FROM s JOIN c USING (keys)")
+def clones_near_classes(spark, sf):
+    return clones.common_classes(_line_keys(spark, sf))
 
 
 _KEYS = ", k AS (SELECT user_id || ':' || (props->>'k') AS key, event_type FROM events)"

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.plans.lineage import cut
+
 #: Rarely shared keys make near pairs: those in 2 to 30 bodies.
 POST_CAP = 30
+#: Bodies without a key in 2 to 30 bodies also take keys in up to 64.
+RESCUE_CAP = 64
 
 
 def words(text: Column) -> Column:
@@ -31,6 +35,35 @@ def near(keys: DataFrame, least: int = 2) -> DataFrame:
     return k.alias("x").join(k.alias("y"), "key").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """(id, key, n): the distinct keys of bodies, as 16 bytes each, that stand in n > 1 bodies."""
+    k = keys.select("id", F.unhex(F.md5("key")).alias("key")).distinct()
+    return cut(k.join(k.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("id", "key", "n"))
+
+
+def near_rescued(keys: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, shared) as near() finds them, and more: bodies that have no key found in 2 to 30 bodies bring theirs found in up to 64.
+
+    A pair with such a body needs one shared key only, as it has hardly any. All pairs of near() are among these.
+    """
+    k = _shared(keys)
+    blind = k.groupBy("id").agg(F.min("n").alias("least")).where(F.col("least") > POST_CAP).select("id", F.lit(True).alias("blind"))
+    k = k.where(F.col("n") <= RESCUE_CAP).join(blind, "id", "left")
+    rescued = k.where("blind").select("key").distinct()
+    k = k.where(F.col("n") <= POST_CAP).unionByName(k.where(F.col("n") > POST_CAP).join(rescued, "key", "semi"))
+    pairs = k.alias("x").join(k.alias("y"), "key").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("shared"), F.max(F.coalesce("x.blind", "y.blind", F.lit(False))).alias("blind"))
+    return pairs.where((F.col("shared") >= least) | F.col("blind")).select("a", "b", "shared")
+
+
+def common_classes(keys: DataFrame) -> DataFrame:
+    """(id, class, size, n_keys): bodies with the same set of keys found in more than 30 bodies, named by their smallest; no pair is made."""
+    k = _shared(keys).where(F.col("n") > POST_CAP)
+    sets = k.groupBy("id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_set("key")), F.hex), ","), 256).alias("set"), F.count("*").alias("n_keys"))
+    found = sets.groupBy("set").agg(F.min("id").alias("class"), F.count("*").alias("size")).where("size > 1")
+    return sets.join(found, "set").select("id", "class", "size", "n_keys")
+
+
 def postings(mentions: DataFrame) -> DataFrame:
     """Of each name (file, name): in how many files, the first and the last."""
     return mentions.distinct().groupBy("name").agg(F.count("*").alias("n_files"), F.min("file").alias("first"), F.max("file").alias("last"))
