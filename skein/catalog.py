@@ -376,6 +376,19 @@ def impact(spark, sf):
     return moved.groupBy("dst").agg(F.sum("n").alias("rewrites"), better.alias("requires"))
 
 
+@query("SELECT dst, sum(n)::BIGINT AS rewrites, count(DISTINCT CASE WHEN tier <> 'inferred' THEN src END) AS requires FROM refs GROUP BY 1")
+def impact_every(spark, sf):
+    better = F.countDistinct(F.when(F.col("tier") != "inferred", F.col("src")))
+    return from_star(spark, sf).refs().groupBy("dst").agg(F.sum("n").alias("rewrites"), better.alias("requires"))
+
+
+@query(", o AS (SELECT DISTINCT fn, callee, 's' || (substr(callee, 2)::BIGINT + line % 2) AS target FROM calls), m AS (SELECT fn, callee, count(*) AS n FROM o GROUP BY 1, 2), c AS (SELECT DISTINCT fn, callee, target FROM calls) SELECT c.fn, c.callee, CASE WHEN c.target IS NULL THEN 'recovered' WHEN o.target IS NOT NULL THEN 'confirmed' WHEN n = 1 THEN 'conflict' ELSE 'polymorphic' END AS verdict FROM c JOIN m ON c.fn = m.fn AND c.callee = m.callee LEFT JOIN o ON o.fn = c.fn AND o.callee = c.callee AND o.target = c.target")
+def confirm_every(spark, sf):
+    calls = from_star(spark, sf).calls
+    seen = calls.select("fn", "callee", F.concat(F.lit("s"), (F.substring("callee", 2, 20).cast("long") + F.col("line") % 2).cast("string")).alias("target"))
+    return diffs.confirm(calls, seen)
+
+
 @query("SELECT a.n_name AS name, b.n_name AS near, damerau_levenshtein(a.n_name, b.n_name)::INT AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE damerau_levenshtein(a.n_name, b.n_name) <= CASE WHEN length(a.n_name) >= 5 THEN 2 ELSE 1 END")
 def near_names(spark, sf):
     return near_pairs(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
