@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
-from skein.llm.shared import drop, ready, staged, table
+from skein.llm.shared import bitmap, drop, marked, ready, staged, table
 from skein.llm.textvec import SPACED, Words, mix, rows_of
 
 #: 32 bands of 5 coordinates: a pair at similarity 0.85 shares no band once in 1e8, at 0.8 once in 3e5.
 BANDS, ROWS = 32, 5
-#: Members of a bucket that one task compares with as many others.
+#: Members of a bucket that are compared with as many others at once.
 BLOCK = 64
 _SEEDS = np.random.default_rng(7919).integers(1, 1 << 63, 2 * 256, dtype=np.uint64)
 
@@ -68,38 +70,56 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     return out
 
 
+#: What a class of equal sets is known by.
+_SET = ["h1", "h2", "n_shingles"]
+
+
+def _with_key(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, text and two hashes (r1, r2) of both, which name a row but for its repetitions."""
+    key = F.col("doc_id").cast("long")
+    return docs.select(key.alias("doc_id"), "text", *(F.xxhash64(F.lit(i), key, F.col("text").cast("string")).alias(f"r{i}") for i in (1, 2)), *more)
+
+
+def _hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.array([len(x) for x in sets], np.int64)
+    h1 = np.array([np.add.reduce(x) if len(x) else 0 for x in sets], np.uint64)
+    h2 = np.array([np.bitwise_xor.reduce(mix(x + np.uint64(1))) if len(x) else 0 for x in sets], np.uint64)
+    return mix(h1).view(np.int64), h2.view(np.int64), n
+
+
 def _sketches(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         with np.errstate(over="ignore"):
             for batch, data, at in rows_of(batches, "text"):
                 sets = shingle_sets(Words(data, at, SPACED), k)
-                n = np.array([len(x) for x in sets], np.int64)
-                h1 = np.array([np.add.reduce(x) if len(x) else 0 for x in sets], np.uint64)
-                h2 = np.array([np.bitwise_xor.reduce(mix(x + np.uint64(1))) if len(x) else 0 for x in sets], np.uint64)
+                h1, h2, n = _hashes(sets)
                 full = [sketch(x) for x in sets if len(x)]
                 keys = band_keys(np.stack(full)) if full else np.zeros((0, BANDS), np.uint64)
                 offsets = np.zeros(len(sets) + 1, np.int32)
                 np.cumsum((n > 0) * BANDS, out=offsets[1:])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(mix(h1).view(np.int64)), pa.array(h2.view(np.int64)),
+                    *(batch.column(c) for c in ("doc_id", "r1", "r2", "id")), pa.array(h1), pa.array(h2), pa.array(n),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))], schema=schema)
 
     return run
 
 
 def _sets(k: int):
-    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_shingles", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        once: set[int] = set()
+        # A repeated set is given once by each task, as far as a bounded memory tells.
+        once: set[tuple] = set()
         with np.errstate(over="ignore"):
-            for batch, data, at in rows_of(batches, "text"):
+            for _, data, at in rows_of(batches, "text"):
                 sets = shingle_sets(Words(data, at, SPACED), k)
-                # A repeated row is given once by each task.
-                new = [(r, x.tobytes()) for r, x in zip(batch.column("rep").to_pylist(), sets) if not (r in once or once.add(r))]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in new], pa.int64()), pa.array([x for _, x in new], pa.binary())], schema=schema)
+                if len(once) > 100_000:
+                    once.clear()
+                names = list(zip(*(x.tolist() for x in _hashes(sets))))
+                new = [(*name, x.tobytes()) for name, x in zip(names, sets) if len(x) and not (name in once or once.add(name))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in new], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
 
@@ -166,76 +186,114 @@ def _verify_blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); other columns are ignored.
-
-    Documents whose k-word shingle sets have similarity of percent / 100 or more are linked; component_id is the smallest
-    doc_id reachable. Equal sets are one class, which its smallest doc_id stands for. Classes that share
-    a band are verified on full sets, first each against the smallest of its bucket; then, in buckets that still hold
-    different components, block against block, so that no link between components is lost and no pair is emitted
-    but found links. Null and empty texts have no shingles, and are components of their own. Repeated rows are kept
-    as rows. Rows whose doc_id is null take part where their set has another row with an id, else they stay alone (null, kept).
-    """
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Every row's doc_id, r1, r2, n_shingles and winner (doc_id, r1, r2): the row that stands for its component, null without shingles."""
     ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
-    key = ["h1", "h2", "n_shingles"]
-    classes = staged(rows.where("n_shingles > 0").groupBy(key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = rows.where("n_shingles > 0").join(classes, key).where("doc_id = rep").select("rep", "bands")
+    docs = _with_key(docs)
+    rows = staged(docs.select("*", F.monotonically_increasing_id().alias("id")).mapInArrow(
+        _sketches(k), "doc_id long, r1 long, r2 long, id long, h1 long, h2 long, n_shingles long, bands array<long>"), "sketches")
+    some = rows.where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
+    classes = staged(some.groupBy(*_SET).agg(F.min("id").alias("rep"), first), "classes")
+    reps = staged(some.join(classes.select("rep"), F.col("id") == F.col("rep")).select("rep", "bands"), "reps")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader")
-    full = staged(buckets.join(shared, "bucket").select("rep", "bucket", "leader"), "buckets")
-    nodes = full.select("rep").distinct()
-    texts = docs.join(nodes, docs.doc_id == nodes.rep).select("rep", "text")
-    sets = staged(texts.mapInArrow(_sets(k), "rep long, shingles binary").join(
-        classes.select("rep", (8 * F.col("n_shingles")).alias("bytes")), "rep").where(F.octet_length("shingles") == F.col("bytes")).select("rep", "shingles"), "sets")
+    # Written before they are joined, so that Spark can split the rows of a bucket that many share.
+    shared = staged(buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader"), "shared")
+    full = staged(buckets.join(shared, "bucket").select("rep", "bucket", "leader"), "buckets", clean=True)
+    nodes = staged(classes.join(full.select("rep").distinct(), "rep", "semi").select(*_SET, "rep", F.col("first.r1").alias("r1")), "nodes")
+    bits = bitmap(nodes, "candidates")
+    # Texts move only where a row may be the first of a class that shares a bucket.
+    texts = marked(docs.select("text", "r1"), bits).where("flag").select("text")
+    sets = texts.mapInArrow(_sets(k), "h1 long, h2 long, n_shingles long, shingles binary").groupBy(*_SET).agg(F.first("shingles").alias("shingles"))
+    sets = staged(sets.join(nodes.drop("r1"), _SET).select("rep", "n_shingles", "shingles"), "sets", clean=True)
+    light = sets.select("rep", "shingles")
     stars = full.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    links = staged(stars.mapInArrow(_verify_pairs(percent), "a long, b long"), "stars")
+    stars = stars.join(light.toDF("a", "sa"), "a").join(light.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    links = staged(stars.mapInArrow(_verify_pairs(percent), "a long, b long"), "stars", clean=True)
     labels = components(links)
     rest = _residual(full, labels, sets, reps, percent)
-    if not rest.isEmpty():
+    if rest is not None and not rest.isEmpty():
         labels = components(links.union(rest))
-    found = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component"))
-    out = rows.drop("bands").join(found, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    for x in (full, sets):
+    for x in (reps, shared, full, nodes, bits, sets, links):
+        drop(x)
+    # Written before they are joined, so that Spark can split the classes of a component that many are in.
+    named = staged(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").drop("rep"), "named")
+    linked = named.where("label is not null")
+    least = staged(linked.groupBy("label").agg(F.min("first").alias("winner")), "least")
+    winner = linked.join(least, "label").select(*_SET, "winner").union(named.where("label is null").select(*_SET, F.col("first").alias("winner")))
+    for x in (classes, labels):
         drop(x)
+    return rows.drop("bands", "id").join(winner, _SET, "left").select("doc_id", "r1", "r2", "n_shingles", "winner")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); other columns are ignored.
+
+    Documents whose k-word shingle sets have similarity of percent / 100 or more are linked; component_id is the smallest
+    doc_id reachable. Rows with equal sets are one class, whatever their ids; classes that share a band are
+    verified on full sets, first each against the smallest of its bucket; then, in buckets that still hold
+    different components, block against block, so that no link between components is lost and no pair is emitted
+    but found links. Null and empty texts have no shingles, and are components of their own. Repeated rows are kept
+    as rows, and unlike texts of one doc_id are nodes of their own. In a component without any id component_id is null, and its rows are kept.
+    """
+    out = _grouped(docs, k, percent).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("winner.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _residual(full: DataFrame, labels: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one bucket whose components are still different, found block against block; the leaders have met all."""
-    marked = full.where("rep <> leader").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label"))
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").drop("lo", "hi")
-    marked = staged(marked.join(mixed, "bucket").where("m > 1"), "mixed")
-    # Members of one component stand in the same blocks as far as may be, so that blocks of only one need no comparing.
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
-    marked = marked.withColumn("block", F.when(F.col("m") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), blocks / 8).cast("int")) * 8 + F.pmod(F.xxhash64("rep"), F.lit(8))).cast("int"))
-    need = marked.select("rep").distinct()
-    members = marked.join(sets.join(need, "rep", "semi").dropDuplicates(["rep"]), "rep").join(reps.join(need, "rep", "semi").dropDuplicates(["rep"]).select("rep", "bands"), "rep")
-    blocked = staged(members.groupBy("bucket", "block").agg(
+def _residual(full: DataFrame, labels: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
+    """Links between members of one bucket whose components are still different, found block against block; the leaders have met all.
+
+    Blocks hold about BLOCK members of one size class (a power of two of shingles), or fewer of large sets, and as far as
+    may be of one component, so that blocks of only one need no comparing. Each pair of blocks is a row, which any task may take.
+    """
+    light = staged(full.where("rep <> leader").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label")), "labelled")
+    mixed = staged(light.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "mixed")
+    if mixed.isEmpty():
+        return None
+    power = F.floor(F.log2("n_shingles")).cast("int").alias("power")
+    light = staged(light.join(mixed, "bucket").join(sets.select("rep", power), "rep"), "members")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK * 8192) / F.pow(F.lit(2.0), F.col("power") + 1)))).cast("long")
+    count = staged(light.groupBy("bucket", "power", "label").agg(F.count("*").alias("n")), "counts").withColumn("room", room)
+    small = count.where("n < room").groupBy("bucket", "power").agg(F.sum("n").alias("few"))
+    count = staged(count.join(small, ["bucket", "power"], "left"), "rooms")
+    parts = lambda n: F.ceil(F.col(n) / F.col("room"))
+    large = F.xxhash64(F.lit("large"), "label", F.pmod(F.xxhash64("rep"), parts("n")))
+    block = F.when(F.col("n") >= F.col("room"), large).otherwise(F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("label"), parts("few"))))
+    placed = staged(light.join(count, ["bucket", "power", "label"]).select("rep", "bucket", "power", "label", block.alias("block")), "placed")
+    need = placed.select("rep").distinct()
+    whole = sets.join(need, "rep", "semi").join(reps, "rep").select("rep", "bands", "shingles")
+    by = ["bucket", "power", "block"]
+    blocked = staged(placed.join(whole, "rep").groupBy(*by).agg(
         F.collect_list(F.struct("rep", "label", "bands", "shingles")).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
-    a = blocked.toDF("bucket", "i", "left", "lo", "hi")
-    b = blocked.toDF("bucket", "j", "right", "lo2", "hi2")
-    pairs = a.join(b, "bucket").where("i <= j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("bucket", (F.col("i") == F.col("j")).alias("same"), "left", "right")
-    found = staged(pairs.mapInArrow(_verify_blocks(percent), "a long, b long").distinct(), "rest")
-    for x in (blocked, marked):
+    a, b = blocked.select(*by, "lo", "hi").toDF("bucket", "pa", "i", "lo", "hi"), blocked.select(*by, "lo", "hi").toDF("bucket", "pb", "j", "lo2", "hi2")
+    # Sets whose sizes are further apart can't be similar enough.
+    gap = max(1, math.ceil(math.log2(100 / percent)))
+    met = ((F.col("pa") == F.col("pb")) & (F.col("i") <= F.col("j"))) | ((F.col("pa") < F.col("pb")) & (F.col("pb") <= F.col("pa") + gap))
+    pairs = staged(a.join(b, "bucket").where(met).where("not (lo = hi and lo2 = hi2 and lo = lo2)").select("bucket", "pa", "i", "pb", "j"), "pairs")
+    both = pairs.join(blocked.select(*by, F.col("rows").alias("left")).toDF("bucket", "pa", "i", "left"), ["bucket", "pa", "i"])
+    both = both.join(blocked.select(*by, "rows").toDF("bucket", "pb", "j", "right"), ["bucket", "pb", "j"])
+    same = ((F.col("pa") == F.col("pb")) & (F.col("i") == F.col("j"))).alias("same")
+    found = staged(both.select("bucket", same, "left", "right").mapInArrow(_verify_blocks(percent), "a long, b long").distinct(), "rest")
+    for x in (blocked, pairs, placed, count, light, mixed):
         drop(x)
     return found
 
 
-def without_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One row of docs, with all its columns, of each group of near-duplicates: that of the smallest doc_id, and of its repeated rows one.
+def without_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs, with all its columns, of each group of near-duplicates; rows without words are in no group and all stay.
 
-    Texts move only for rows that are kept; rows whose id stands more than once are the only ones that are compared whole.
-    Of rows without an id that are alike only in that, all stay but equal ones.
+    The row that stays is that of the smallest doc_id, null last, and of several texts of that id the one of least hash; of rows that
+    are equal in id and text any one. Rows that a bounded bitmap shows to be sure to stay aren't moved; only the others are
+    shuffled with their texts, by a hash of id and text. docs is read twice, and may be in another order the second time.
     """
-    ids = staged(near_duplicates(docs, **how).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
-    rows = docs.join(ids.withColumnRenamed("doc_id", "_id"), docs.doc_id.cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    named = F.col("doc_id").isNotNull()
-    repeated = rows.where(named & (F.col("_rows") > 1)).drop("_rows")
-    first = repeated.dropDuplicates(["doc_id"])
-    return rows.where(named & (F.col("_rows") == 1)).drop("_rows").union(first).union(rows.where(~named).drop("_rows").dropDuplicates(["text"]))
+    light = _grouped(docs, k, percent).where("n_shingles > 0")
+    own = (F.col("r1") == F.col("winner.r1")) & (F.col("r2") == F.col("winner.r2"))
+    light = staged(light.select("r1", "r2", own.alias("own")).groupBy("r1", "r2", "own").agg(F.count("*").alias("n")).where("not own or n > 1").select("r1", "r2", "own"), "judged")
+    rows = marked(_with_key(docs, F.struct("*").alias("row")).select("r1", "r2", "row"), bitmap(light, "moving"))
+    moved = rows.where("flag").join(light, ["r1", "r2"], "left").where("own is null or own")
+    alone = F.when(F.col("own").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    once = moved.select("r1", "r2", "row", alone.alias("alone")).dropDuplicates(["r1", "r2", "alone"])
+    return rows.where("not flag").select("row.*").union(once.select("row.*"))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
