@@ -8,42 +8,51 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.shared import ready, staged, table
-from skein.llm.textvec import ALNUM, Words, mix, rows_of
+from skein.llm.textvec import ALNUM, Words, columns, rows_of
 
 WINDOW, SHINGLE = 10, 5
 #: Words of items that are broadcast at once; a larger benchmark is joined in so many blocks.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 
 
 class Windows:
-    """The windows of some items: distinct word sequences, the items that hold each, and the hashes of their shingles."""
+    """The windows of some items in arrays: distinct word sequences, the items that hold each, and where each first stands among all words."""
 
     def __init__(self, ids: list[int], texts: list[str | None], window: int, shingle: int) -> None:
-        from skein.llm.textvec import columns
-
-        data, at = columns(pa.array([t or "" for t in texts], pa.string()))
-        words = Words(data, at, ALNUM)
-        found: dict[bytes, list] = {}
-        for item, i, j in zip(ids, words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
-            size = min(window, j - i)
-            for s in range(i, j - size + 1) if size else ():
-                found.setdefault(words.hash[s : s + size].tobytes(), [s, size, set()])[2].add(item)
-        self.items = [sorted(v[2]) for v in found.values()]
-        self.size = np.array([v[1] for v in found.values()], np.int64)
-        self.word = np.zeros((len(found), window), np.uint64)
-        for k, v in enumerate(found.values()):
-            self.word[k, : v[1]] = words.hash[v[0] : v[0] + v[1]]
+        data, at = columns(pa.array([t or "" for t in texts], pa.large_string()))
+        self.words = words = Words(data, at, ALNUM)
+        n = np.diff(words.bounds)
+        size = np.minimum(n, window)
+        count = np.where(size > 0, n - size + 1, 0)
+        item, first = np.repeat(np.asarray(ids, np.int64), count), np.cumsum(count) - count
+        start, size = np.repeat(words.bounds[:-1] - first, count) + np.arange(count.sum()), np.repeat(size, count)
+        word = np.zeros((len(start), window), np.uint64)
+        for j in range(window):
+            some = np.flatnonzero(size > j)
+            word[some, j] = words.hash[start[some] + j]
+        order = np.lexsort((item, *word.T[::-1], size))
+        word, size, item, start = word[order], size[order], item[order], start[order]
+        new = np.ones(len(start), bool)
+        new[1:] = (size[1:] != size[:-1]) | (word[1:] != word[:-1]).any(1)
+        self.word, self.size, self.start = word[new], size[new], start[new]
         self.width = np.minimum(self.size, shingle)
-        self.shingle = [{} for _ in self.size]  # the window's shingles, with their offsets
-        for width in set(self.width.tolist()):
-            hashes, _ = words.shingles(width)
-            for k, v in enumerate(found.values()):
-                if self.width[k] == width:
-                    for o in range(v[1] - width, -1, -1):
-                        self.shingle[k][int(hashes[v[0] + o])] = o
-        self.widths = sorted(set(self.width.tolist()))
+        # The items of window k are item[held[k]:held[k + 1]], each once.
+        once = new.copy()
+        once[1:] |= item[1:] != item[:-1]
+        group = (np.cumsum(new) - 1)[once]
+        self.item, self.held = item[once], np.searchsorted(group, np.arange(len(self.size) + 1))
+
+    def shingles(self, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of that shingle width and size, and the hashes of each one's shingles."""
+        of = np.flatnonzero((self.width == width) & (self.size == size))
+        hashes, _ = self.words.shingles(width)
+        return of, hashes[self.start[of][:, None] + np.arange(size - width + 1)]
+
+    def kinds(self) -> list[tuple[int, int]]:
+        return sorted({*zip(self.width.tolist(), self.size.tolist())})
 
 
 def _lookup(keys: np.ndarray) -> np.ndarray:
@@ -63,32 +72,32 @@ def _matches(words: Words, width: int, keys: np.ndarray, bits: np.ndarray) -> tu
     return at[ok], which[ok]
 
 
-def _counts(shared, by_width: dict):
-    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+def _counts(shared):
+    schema = pa.schema([("width", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         index = {w: (k, _lookup(k), np.zeros(len(k), np.int64)) for w, k in shared.value.items()}
         with np.errstate(over="ignore"):
-            for _, data, at in rows_of(batches, "text"):
+            for _, data, at in rows_of(batches, "row", "text"):
                 words = Words(data, at, ALNUM)
                 for w, (keys, bits, n) in index.items():
                     n += np.bincount(_matches(words, w, keys, bits)[1], minlength=len(keys))
-        for keys, _, n in index.values():
+        for w, (keys, _, n) in index.items():
             some = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), w)), pa.array(keys[some].view(np.int64)), pa.array(n[some])], schema=schema)
 
     return run
 
 
-def _find(shared, keep):
+def _find(shared):
     """Of each row: its words, and the spans of words and the items of the windows that occur."""
     schema = pa.schema([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
-        index, word, size, items = shared.value
+        index, word, size, item, held = shared.value
         index = {w: (k, _lookup(k), *rest) for w, (k, *rest) in index.items()}
         with np.errstate(over="ignore"):
-            for batch, data, at in rows_of(batches, "text"):
+            for batch, data, at in rows_of(batches, "row", "text"):
                 words = Words(data, at, ALNUM)
                 n_rows, n = len(batch), len(words.start)
                 row = np.repeat(np.arange(n_rows), np.diff(words.bounds))
@@ -119,38 +128,41 @@ def _find(shared, keep):
                         reach = np.maximum.accumulate(e)
                         new = np.concatenate([[True], b[1:] > reach[:-1]])
                         starts[i], ends[i] = b[new].tolist(), reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(b) - 1]])].tolist()
-                        ids[i] = sorted({x for j in set(k[hit].tolist()) for x in items[j]})
+                        ids[i] = np.unique(np.concatenate([item[held[j] : held[j + 1]] for j in np.unique(k[hit])])).tolist()
                 out = pa.RecordBatch.from_arrays([pa.array(np.diff(words.bounds).astype(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, ends, ids))], schema=schema)
-                for name in keep:
-                    out = out.append_column(name, batch.column(name))
-                yield out
+                yield out.append_column("row", batch.column("row"))
 
     return run
 
 
-def _rarest(windows: Windows, counts: dict[int, int]) -> dict:
+def _rarest(windows: Windows, counts: dict[int, tuple]) -> dict:
     """For each shingle width: the sorted prefix shingles, and the windows and offsets of each.
 
     A window occurs only where all of its shingles do, so a prefix of one shingle is enough: the rarest by its
     count in all documents, ties by hash. A window of which some shingle occurs nowhere is left out.
     """
     by: dict[int, list] = {}
-    for k, shingles in enumerate(windows.shingle):
-        least = min(shingles, key=lambda h: (counts.get(h, 0), h))
-        if counts.get(least, 0):
-            by.setdefault(int(windows.width[k]), []).append((least, k, shingles[least]))
+    for width, size in windows.kinds():
+        of, hashes = windows.shingles(width, size)
+        keys, n = counts[width]
+        count = n[np.searchsorted(keys, hashes)]
+        least = count.min(1)
+        at = np.where(count == least[:, None], hashes, ~np.uint64(0)).argmin(1)
+        some = least > 0
+        by.setdefault(width, []).append((hashes[some, at[some]], of[some], at[some]))
     out = {}
-    for width, rows in by.items():
-        rows.sort()
-        keys, first = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True)
-        out[width] = (keys, np.append(first, len(rows)).astype(np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+    for width, parts in by.items():
+        least, of, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(least, kind="stable")
+        keys, first = np.unique(least[order], return_index=True)
+        out[width] = (keys, np.append(first, len(order)).astype(np.int64), of[order], at[order])
     return out
 
 
 def _blocks(items: DataFrame, words: int):
     """Items by id, in lists of bounded size; only one list is on the driver at a time."""
     ids, texts, size = [], [], 0
-    for r in items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id").toLocalIterator():
+    for r in items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id").toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
         size += len(r[1] or "") // 2 + 1
@@ -161,8 +173,61 @@ def _blocks(items: DataFrame, words: int):
         yield ids, texts
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, carry: tuple = ("doc_id",)) -> DataFrame:
-    """n_words, starts, ends, items and the columns to carry of each row of docs (doc_id, text): the merged spans of words that windows of items cover.
+def _shared_windows(rows: DataFrame, ids: list, texts: list, window: int, shingle: int):
+    """A broadcast of one block's windows by their rarest shingles, which one pass over all rows counts."""
+    spark = rows.sparkSession
+    with np.errstate(over="ignore"):
+        windows = Windows(ids, texts, window, shingle)
+        keys: dict[int, np.ndarray] = {}
+        for width, size in windows.kinds():
+            keys[width] = np.union1d(keys.get(width, np.zeros(0, np.uint64)), windows.shingles(width, size)[1])
+        if not keys:
+            return None
+        wanted = spark.sparkContext.broadcast(keys)
+        counted = rows.mapInArrow(_counts(wanted), "width long, shingle long, n long").groupBy("width", "shingle").agg(F.sum("n").alias("n"))
+        # At most as many rows as the block has shingles.
+        got = counted.toArrow()
+        wanted.destroy()
+        width_, shingle_, n_ = (got.column(c).to_numpy() for c in ("width", "shingle", "n"))
+        counts = {}
+        for width, known in keys.items():
+            mine, n = width_ == width, np.zeros(len(known), np.int64)
+            n[np.searchsorted(known, shingle_[mine].astype(np.int64).view(np.uint64))] = n_[mine]
+            counts[width] = (known, n)
+        return spark.sparkContext.broadcast((_rarest(windows, counts), windows.word, windows.size, windows.item, windows.held))
+
+
+def _spans(rows: DataFrame, items: DataFrame, window: int, shingle: int, block_words: int) -> DataFrame:
+    """n_words, starts, ends and items of each row of rows, whose column row is a struct with the field text, and that column."""
+    ready(rows.sparkSession)
+    numbers = T.ArrayType(T.LongType())
+    spans = T.StructType().add("n_words", "long").add("starts", numbers).add("ends", numbers).add("items", numbers)
+    kind = lambda df: T.StructType([*spans, df.schema["row"]])
+    blocks = _blocks(items, block_words)
+    block, following = next(blocks, ([], [])), next(blocks, None)
+    none = rows.sparkSession.sparkContext.broadcast(({}, np.zeros((0, window), np.uint64), *(np.zeros(0, np.int64) for _ in range(3))))
+    if following is None:
+        return rows.mapInArrow(_find(_shared_windows(rows, *block, window, shingle) or none), kind(rows))
+    # Rows are written once with a number, by which the blocks' results meet.
+    fixed = staged(rows.select(F.struct(F.monotonically_increasing_id().alias("id"), F.col("row.text").alias("text")).alias("row"), F.col("row").alias("whole")), "rows")
+    found = None
+    while block is not None:
+        part = _shared_windows(fixed.select("row"), *block, window, shingle)
+        some = staged(fixed.select("row").mapInArrow(_find(part or none), kind(fixed)).where(F.lit(found is None) | (F.size("starts") > 0)).select("row.id", "n_words", "starts", "ends", "items"), "found")
+        if part:
+            part.destroy()
+        found = some if found is None else found.unionByName(some)
+        block, following = following, next(blocks, None)
+    merged = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    empty = F.array().cast("array<struct<starts:bigint,ends:bigint>>")
+    joined = F.aggregate("spans", empty, lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["ends"] >= s["starts"]), F.concat(
+        F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], s["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(s))))
+    merged = merged.withColumn("spans", joined).select("id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+    return merged.join(fixed.select(F.col("row.id").alias("id"), F.col("whole").alias("row")), "id").drop("id")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, starts, ends and items of each row of docs (doc_id, text): the merged spans of words that windows of items cover.
 
     A window is `window` consecutive words of an item (item_id, text), or a shorter item whole. One pass over all
     documents counts the items' shingles; each window's rarest one is its prefix, which a second pass
@@ -171,37 +236,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     Null and empty texts have no words; items without words or id take no part. Repeated rows and ids
     stay rows of their own; other columns are ignored.
     """
-    spark = docs.sparkSession
-    ready(spark)
-    docs = docs.select(*carry, *({"text"} - {*carry}))
-    parts = []
-    for ids, texts in _blocks(items, block_words):
-        windows = Windows(ids, texts, window, shingle)
-        by_width = {w: np.unique(np.array([h for k, s in enumerate(windows.shingle) if windows.width[k] == w for h in s], np.uint64)) for w in windows.widths}
-        counts: dict[int, int] = {}
-        if by_width:
-            counted = docs.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(by_width), by_width), "shingle long, n long")
-            # At most as many rows as the block has shingles.
-            counts = {r[0] % (1 << 64): r[1] for r in counted.groupBy("shingle").agg(F.sum("n")).collect()}
-        parts.append(spark.sparkContext.broadcast((_rarest(windows, counts), windows.word, windows.size, windows.items)))
-    if not parts:
-        parts.append(spark.sparkContext.broadcast(({}, np.zeros((0, window), np.uint64), np.zeros(0, np.int64), [])))
-    kind, types = "n_words long, starts array<long>, ends array<long>, items array<long>", dict(docs.dtypes)
-    kept = "".join(f", `{c}` {types[c]}" for c in carry)
-    if len(parts) == 1:
-        return docs.mapInArrow(_find(parts[0], carry), kind + kept)
-    # A row's number in its partition of a table that stays as it is names it in every block's result.
-    fixed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = None
-    for part in parts:
-        some = staged(fixed.mapInArrow(_find(part, ("_row",)), kind + ", _row long"), "found")
-        found = some if found is None else found.unionByName(some)
-    merged = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    empty = F.array().cast("array<struct<starts:bigint,ends:bigint>>")
-    joined = F.aggregate("spans", empty, lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["ends"] >= s["starts"]), F.concat(
-        F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], s["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(s))))
-    merged = merged.withColumn("spans", joined).select("_row", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
-    return merged.join(fixed.select("_row", *carry), "_row").drop("_row")
+    rows = docs.select(F.struct("doc_id", "text").alias("row"))
+    return _spans(rows, items, window, shingle, block_words).select("row.doc_id", "n_words", "starts", "ends", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -210,9 +246,10 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of an item occurs."""
-    return contamination(docs, items, carry=tuple(docs.columns), **how).where(F.size("starts") == 0).select(*docs.columns)
+def uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns of whatever names, in which no window of an item occurs; null and empty texts stay."""
+    rows = docs.select(F.struct("*").alias("row"))
+    return _spans(rows, items, window, shingle, block_words).where(F.size("starts") == 0).select("row.*")
 
 
 def op10_contamination(spark, sf_dir: str) -> DataFrame:

@@ -121,9 +121,12 @@ class Words:
         return out, np.arange(n) + k <= last
 
 
-def rows_of(batches, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """For each batch, slices of it with their text's bytes and row bounds."""
+def rows_of(batches, column: str, inside: str | None = None, size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """For each batch, slices of it with their text's bytes and row bounds; inside names a field of a struct column."""
     for batch in batches:
-        data, at = columns(batch.column(column))
-        for i, j in chunks(at):
+        texts = batch.column(column)
+        if inside is not None:
+            texts = texts.flatten()[texts.type.get_field_index(inside)]
+        data, at = columns(texts)
+        for i, j in chunks(at, size):
             yield batch.slice(i, j - i), data, at[i : j + 1]
