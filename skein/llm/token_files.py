@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import huffman
+from skein.llm.bpe import LONGEST, Merges
 from skein.llm.shared import drop, partitions, read_files, ready, scratch, staged, table, write_files
 from skein.llm.textvec import rows_of
 
@@ -25,41 +28,23 @@ _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _loaded: dict = {}
 
 
-def _byte_letters() -> dict[int, str]:
-    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-class Places(dict):
-    """Where each word's ids stand; asking for a new one learns it."""
-
-    def __init__(self, owner: WordIds, known: dict) -> None:
-        super().__init__(known)
-        self.owner = owner
-
-    def __missing__(self, word: bytes) -> int:
-        return self.owner.learn(word)
-
-
 class WordIds:
     """Ids of words, each encoded once. For tokenizers that lower-case, drop white space and never join across it.
 
-    Words are parts of the text between ASCII white space, lower-cased. A new word of Latin letters goes to the
-    tokenizer's merges at once, as its other steps leave such a word whole; marks after a letter or digit are words of
-    their own; anything else goes through all steps. So the ids are those of the whole text.
+    Words are parts of the text between ASCII white space, lower-cased. Marks before or after a word's letters or digits
+    are words of their own. New words of Latin letters are merged side by side, as the tokenizer's other steps leave
+    such words whole; anything else goes through all of its steps. So the ids are those of the whole text.
     """
 
     def __init__(self, path: str, end: int, most: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end, most
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.merges = Merges.of(path)
         self._clear()
 
     def _clear(self) -> None:
-        self.place = Places(self, {b" ": 0})  # no word: the end of a document
+        self.place = {b" ": 0}  # no word: the end of a document
         self.first, self.size, self.ids = array("q", [0]), array("q", [1]), array("I", [self.end])
         self.used = np.zeros(self.most * 2, np.int32)
 
@@ -70,47 +55,77 @@ class WordIds:
         if len(keep) > self.most // 2:
             return self._clear()
         keep = np.union1d(keep, [0])
-        first, size, ids = (np.array(x) for x in (self.first, self.size, self.ids))
-        self.place = Places(self, {words[k]: i for i, k in enumerate(keep.tolist())})
-        size = size[keep]
+        ids, size = self._gather(keep)
+        self.place = {words[k]: i for i, k in enumerate(keep.tolist())}
         end = np.cumsum(size)
-        at = np.repeat(first[keep] - (end - size), size) + np.arange(end[-1])
-        self.first, self.size, self.ids = array("q", (end - size).tobytes()), array("q", size.tobytes()), array("I", ids[at].astype(np.uint32).tobytes())
+        self.first, self.size, self.ids = array("q", (end - size).tobytes()), array("q", size.tobytes()), array("I", ids.tobytes())
         used = self.used[keep] // 2
         self.used = np.zeros(self.most * 2, np.int32)
         self.used[: len(keep)] = used
 
-    def _split(self, word: bytes) -> list[int]:
-        """A new word's ids."""
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, one after another, and how many each has."""
+        first, known, store = (np.frombuffer(x, x.typecode) for x in (self.first, self.size, self.ids))
+        size = known[at]
+        end = np.cumsum(size)
+        return store[np.repeat(first[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)], size
+
+    def _count(self, at: np.ndarray) -> None:
+        n = len(self.first)
+        if n > len(self.used):
+            self.used = np.append(self.used, np.zeros(n, np.int32))
+        self.used[:n] += np.bincount(at, minlength=n).astype(np.int32)
+
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
         core = word.strip(_MARKS)
         if core != word and core and b"<|" not in word:
             head, tail = word[: word.index(core)], word[word.index(core) + len(core) :]
             # An apostrophe before letters may belong to them; bytes of longer characters may be marks themselves.
             if (not head or (core[:1].isalnum() and head[-1:] != b"'")) and (not tail or core[-1:].isalnum()):
-                return [i for part in (head, core, tail) if part for i in self._of(part)]
+                return tuple(filter(None, (head, core, tail)))
+        return (word,)
+
+    def _letters(self, word: bytes) -> bytes | None:
+        """The word in lower case if only merges change it, else None."""
+        if self.merges is None or len(word) > LONGEST:
+            return None
         if word.isalpha():
-            return self._whole(word)
+            return word if word.islower() else None
         text = word.decode("utf-8", "replace")
         if text.isalpha() and max(text) < "\u0250" and (low := text.lower()).isalpha() and max(low) < "\u0250":
-            return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
-        return self._whole(word)
-
-    def _whole(self, word: bytes) -> list[int]:
-        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-
-    def _of(self, word: bytes) -> array:
-        k = self.place[word]
-        return self.ids[self.first[k] : self.first[k] + self.size[k]]
-
-    def learn(self, word: bytes) -> int:
-        """The place of a word that isn't known yet."""
-        ids = [t.id for t in self.model.tokenize(word.decode("ascii"))] if word.isalpha() and word.islower() else self._split(word)
-        k = len(self.first)
-        self.place[word] = k
-        self.first.append(len(self.ids))
-        self.size.append(len(ids))
-        self.ids.extend(ids)
-        return k
+            return low.encode() if len(low.encode()) <= LONGEST else None
+        return None
+
+    def _add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        start, end = len(self.ids), np.cumsum(size)
+        self.place.update(zip(words, range(len(self.first), len(self.first) + len(words))))
+        self.first.frombytes((start + end - size).astype(np.int64).tobytes())
+        self.size.frombytes(size.astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+
+    def learn(self, words: list[bytes]) -> None:
+        """Gives places to distinct words that have none."""
+        plain = [w for w in words if w.isalpha() and w.islower() and len(w) <= LONGEST] if self.merges else []
+        if plain:
+            self._add(plain, *self.merges.encode(plain))
+            words = [w for w in words if w not in self.place]
+        parts = [self._parts(w) for w in words]
+        new = [p for p in dict.fromkeys(p for ps in parts for p in ps) if p not in self.place]
+        low = [self._letters(p) for p in new]
+        quick = [p for p, x in zip(new, low) if x is not None]
+        if quick:
+            self._add(quick, *self.merges.encode([x for x in low if x is not None]))
+        slow = [p for p, x in zip(new, low) if x is None]
+        if slow:
+            ids = [self.tokenizer.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids for p in slow]
+            self._add(slow, np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64))
+        several = [(w, ps) for w, ps in zip(words, parts) if len(ps) > 1]
+        if several:
+            at = np.array([self.place[p] for _, ps in several for p in ps], np.int64)
+            count = np.array([len(ps) for _, ps in several], np.int64)
+            ids, size = self._gather(at)
+            self._count(at)
+            self._add([w for w, _ in several], ids, np.add.reduceat(size, np.cumsum(count) - count))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and how many each has."""
@@ -122,17 +137,14 @@ class WordIds:
             count[i] = len(words) + 1
         if len(self.place) > self.most:
             self._forget()
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        n = len(self.first)
-        if n > len(self.used):
-            self.used = np.append(self.used, np.zeros(n, np.int32))
-        self.used[:n] += np.bincount(at, minlength=n).astype(np.int32)
-        first, known, store = (np.frombuffer(x, x.typecode) for x in (self.first, self.size, self.ids))
-        size = known[at]
-        end = np.cumsum(size)
-        ids = store[np.repeat(first[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
-        del first, known, store  # the arrays can't grow while they are looked at
-        last = np.cumsum(count) - 1
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            self.learn(list(dict.fromkeys(flat[i] for i in unknown)))
+            at[unknown] = [self.place[flat[i]] for i in unknown]
+        self._count(at)
+        ids, size = self._gather(at)
+        end, last = np.cumsum(size), np.cumsum(count) - 1
         return ids, np.diff(end[last], prepend=0)
 
 
@@ -141,6 +153,14 @@ def _encode(path: str, end: int, wide: bool, vocabulary: int, file_ids: int):
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
+        # Words make no cycles, and looking for some costs a fifth of the time.
+        gc.disable()
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches):
         if path not in _loaded:
             _loaded[path] = WordIds(path, end)
         words, part = _loaded[path], TaskContext.get().partitionId()
@@ -180,11 +200,12 @@ def _add_counts(batches):
 
 def _compress(shared, wide: bool):
     def run(batches):
-        lengths = shared.value
+        lengths, starts = shared.value
         code = huffman.codes(lengths)
         for batch in batches:
             for k in range(len(batch)):
-                head = {n: batch.column(n)[k].as_py() for n in ("part", "seq", "before")}
+                part, seq, before = (batch.column(n)[k].as_py() for n in ("part", "seq", "before"))
+                head = {"part": part, "seq": seq, "start": starts[part] + before}
                 ids = np.frombuffer(batch.column("ids")[k].as_buffer(), "<u4" if wide else "<u2").astype(np.int64)
                 sizes = np.frombuffer(batch.column("sizes")[k].as_buffer(), "<i8")
                 data = huffman.write(head, batch.column("doc_ids")[k].as_py(), sizes, ids, lengths, code)
@@ -216,46 +237,40 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     # At most as many rows as the vocabulary has ids.
     for i, n in rows.where("counts is not null").select("counts").mapInArrow(_add_counts, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n
-    shared = spark.sparkContext.broadcast(huffman.code_lengths(counts))
+    # One row for each partition that wrote.
+    sums = rows.where("ids is not null").groupBy("part").agg(F.sum(F.octet_length("ids") / (4 if wide else 2)).cast("long")).collect()
+    starts, total = {}, 0
+    for part, n in sorted(sums):
+        starts[part] = total
+        total += n
+    shared = spark.sparkContext.broadcast((huffman.code_lengths(counts), starts))
     write_files(rows.where("ids is not null").drop("counts").mapInArrow(_compress(shared, wide), "data binary"), "data", path, huffman.ENDING)
     drop(rows)
 
 
-def _headers(batches):
-    for batch in batches:
-        heads = [huffman.header(x.as_py()) for x in batch.column("content")]
-        yield pa.RecordBatch.from_arrays([pa.array([h["part"] for h in heads], pa.int64()), pa.array([h["ids"] for h in heads], pa.int64())], ["part", "n"])
-
-
-def _decode(starts: dict[int, int]):
+def _decode(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            for x in batch.column("content"):
-                head, doc_ids, sizes, ids = huffman.read(x.as_py())
-                data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
-                begin = ends - sizes
-                each = [data[4 * i : 4 * j] for i, j in zip(begin.tolist(), ends.tolist())]
-                rows = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begin + starts[head["part"]] + head["before"]), pa.array(sizes), pa.array([zlib.crc32(e) for e in each], pa.int64()), pa.array(each, pa.binary())], schema=schema)
-                yield from (rows.slice(i, 2000) for i in range(0, len(rows), 2000))
-
-    return run
+    for batch in batches:
+        for x in batch.column("content"):
+            head, doc_ids, sizes, ids = huffman.read(x.as_py())
+            data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
+            begin = ends - sizes
+            each = [data[4 * i : 4 * j] for i, j in zip(begin.tolist(), ends.tolist())]
+            rows = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begin + head["start"]), pa.array(sizes), pa.array([zlib.crc32(e) for e in each], pa.int64()), pa.array(each, pa.binary())], schema=schema)
+            yield from (rows.slice(i, 2000) for i in range(0, len(rows), 2000))
 
 
 def read_token_files(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit integers) of each document in the files under path."""
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit integers) of each document in the files under path.
+
+    Each file says where its ids stand among all, so a file is read once and needs no other.
+    """
     ready(spark)
-    files = read_files(spark, path)
-    starts, total = {}, 0
-    # One row for each partition that wrote.
-    for part, n in sorted(files.select("content").mapInArrow(_headers, "part long, n long").groupBy("part").agg(F.sum("n")).collect()):
-        starts[part] = total
-        total += n
-    return files.select("content").mapInArrow(_decode(starts), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return read_files(spark, path).select("content").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_table(spark, docs: DataFrame) -> DataFrame:
+    """Writes docs (doc_id, text) to token files and gives what reading them back says of each document, but its ids."""
     import public_tokenizers
 
     path = scratch(spark, "tokens")

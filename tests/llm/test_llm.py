@@ -168,3 +168,15 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == ("www.example.com", "/en/x", "www.example.com/en/", "allow") and got[2][2:] == ("example.com/en/", "block") and got[3][2:] == ("net/es/", "block")
     assert got[4] == ("bad.org", "/a", None, "block") and got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow") and got[7] == ("x.com", "", None, "allow")
+
+
+def test_merges_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_file(path), np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdeéñüst"), rng.integers(1, 20))) for _ in range(2000)] + ["a", "aaaaaaaaaaaa", "é"]
+    ids, size = token_files.Merges.of(path).encode([w.encode() for w in words])
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert ids.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]
