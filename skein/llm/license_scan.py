@@ -26,6 +26,7 @@ SURE = {"tag": 1.0, "base": 0.9, "notice": 0.8, "odd": 0.5}
 _RANK = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(rb"\(|\)|[A-Za-z0-9][A-Za-z0-9.:+-]*")
 _TAG = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_RUN = re.compile(rb"[^ ]+")
 _WORDS = bytes(int(LOWER[b]) if ALNUM[LOWER[b]] else 32 for b in range(256))
 _automata: dict = {}
 
@@ -41,19 +42,28 @@ def automaton(phrases: dict[str, tuple]):
     return found
 
 
-def evaluate(expression: bytes) -> tuple[bool, set[str]]:
-    """Whether a licence expression is sound, and its identifiers, an exception joined to its licence.
+#: Licences that ask for no more than a notice.
+PERMISSIVE = {"mit", "isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "bsl-1.0", "cc0-1.0", "cc-by-4.0", "unlicense", "zlib"}
+
 
-    Shunting-yard: `with` binds tightest, then `and`, then `or`; parentheses group. Reading stops at the first
+def parse(expression: bytes) -> tuple[bool, list[tuple[list[str], bool, str]]]:
+    """Whether a licence expression is sound, and of each part left its identifiers, whether permissive licences alone meet it, and its normal form.
+
+    Shunting-yard: `with` binds tightest, then `and`, then `or`; parentheses group. An `or` is met where either side is, an
+    `and` where both are, a licence with an exception where the licence is. Reading stops at the first
     token that can't follow, as tags stand in comments; what was read till then counts if it is complete.
     """
-    values: list[list[str]] = []
+    values: list[tuple[list[str], bool, str]] = []
     ops: list[str] = []
     sound, need, end = True, True, 0
 
     def apply() -> None:
         op, b, a = ops.pop(), values.pop(), values.pop()
-        values.append([f"{a[0]} with {b[0]}"] if op == "with" else a + b)
+        if op == "with":
+            name = f"{a[0][0]} with {b[0][0]}"
+            values.append(([name], a[1], name))
+        else:
+            values.append((a[0] + b[0], (a[1] or b[1]) if op == "or" else (a[1] and b[1]), f"({a[2]} {op} {b[2]})"))
 
     for m in _TOKEN.finditer(expression):
         t = m[0].decode("ascii").lower()
@@ -66,14 +76,14 @@ def evaluate(expression: bytes) -> tuple[bool, set[str]]:
                 apply()
             ops.pop()
         elif t in _RANK and not need:
-            if t == "with" and len(values[-1]) > 1:
+            if t == "with" and len(values[-1][0]) > 1:
                 sound = False
             while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[t]:
                 apply()
             ops.append(t)
             need = True
         elif need and t not in _RANK and t not in "()":
-            values.append([t])
+            values.append(([t], t.removesuffix("-or-later").removesuffix("-only").removesuffix("+") in PERMISSIVE, t))
             need = False
         else:
             break
@@ -90,24 +100,31 @@ def evaluate(expression: bytes) -> tuple[bool, set[str]]:
             sound = False
         else:
             apply()
-    return sound and len(values) == 1, {x.replace(",", "") for v in values for x in v}
+    return sound and len(values) == 1, values
+
+
+def evaluate(expression: bytes) -> tuple[bool, set[str]]:
+    """Whether a licence expression is sound, and its identifiers, an exception joined to its licence."""
+    sound, values = parse(expression)
+    return sound, {x for ids, _, _ in values for x in ids}
 
 
 def scan(text: bytes) -> tuple:
-    """Words, base places, first and last base word, base labels, labels, score, and places (word, label, kind) of a text."""
+    """Words, base places, first and last base word, base labels, labels, score, whether permissive licences meet all sound tags (None without one), the tags' normal forms, and places (word, label, kind) of a text."""
     if not _automata:
         phrases = {p: (label, "base") for p, label in BASE.items()} | {p: (label, "notice") for p, label in NOTICES.items()} | {TAG: ("", "tag")}
         _automata[0] = automaton(phrases)
-    words = text.translate(_WORDS).split()
+    plain = text.translate(_WORDS)
+    words = plain.split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
     at, word, places, score = 0, 0, [], 0.0
-    starts, base, labels, tags = [], set(), set(), 0
+    starts, base, labels, tags = [], set(), set(), []
     for end, (n, size, label, kind) in _automata[0].iter(line):
         word += line.count(" ", at, end + 1)
         at = end + 1
         start = word - 1 - n
         if kind == "tag":
-            tags += 1
+            tags.append(start)
             continue
         if kind == "base":
             starts.append(start)
@@ -115,32 +132,44 @@ def scan(text: bytes) -> tuple:
         labels.add(label)
         places.append((start, label, kind))
         score = max(score, SURE[kind])
+    permissive, forms = None, []
     if tags:
-        for m in _TAG.finditer(text):
-            sound, ids = evaluate(m[1])
+        spans = [m.span() for m in _RUN.finditer(plain)]
+        for start in tags:
+            tag = _TAG.match(text, spans[start][0])
+            if not tag:
+                continue
+            sound, values = parse(tag[1])
+            ids = {x for v in values for x in v[0]}
             labels |= ids
-            places += [(None, x, "tag" if sound else "odd") for x in sorted(ids)]
-            score = max(score, SURE["tag" if sound else "odd"] if ids else 0.0)
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, places
+            kind = "tag" if sound else "odd"
+            places += [(start, x, kind) for x in sorted(ids)]
+            score = max(score, SURE[kind] if ids else 0.0)
+            if sound:
+                permissive = values[0][1] and permissive is not False
+                forms.append(values[0][2])
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, permissive, forms, places
 
 
 def _scan(batches):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.string())]
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permissive", "tags"]
     for batch, data, at in rows_of(batches, "text"):
-        rows = [scan(data[i:j].tobytes())[:7] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+        rows = [scan(data[i:j].tobytes())[:9] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", *names])
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): words, places and labels of licence phrases and identifier tags, and how sure they are.
+    """Per row of docs (doc_id, text): words, places and labels of licence phrases and identifier tags, how sure they are, and what the tags' expressions come to.
+
+    permissive is whether licences that ask for a notice at most meet every sound tag, null without one; tags are their normal forms.
 
     One pass without a shuffle; memory is bounded by one text. Null and empty texts have no words, empty labels
     and score 0. Rows and repeated ids stay as they are; other columns are ignored.
     """
     ready(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        _scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+        _scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean, tags array<string>")
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
