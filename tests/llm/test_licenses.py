@@ -36,5 +36,5 @@ def test_base_columns_equal_sql_and_repeats_and_clashes_pass(spark):
         at = [k for k, _ in hits]
         want.append((i, len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))))
     assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == rows.count()
-    n = duckdb.sql(f"select sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) from '{SF}/documents.parquet'").fetchone()[0]
+    n = duckdb.sql(f"select sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) from '{SF}/documents.parquet'").fetchall()[0][0]
     assert sum(r[1] for r in got if r[0] >= 0) == n
