@@ -11,13 +11,63 @@ from skein.operators.reach import closure
 from skein.plans.lineage import cut
 
 
+@dataclass(frozen=True)
+class Lit:
+    """A constant in place of a variable."""
+
+    value: object
+
+
+Atom = tuple[str, tuple[str | Lit, ...]]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """head :- body, negated; each atom is (relation, variables). Negated relations must be of an earlier stratum."""
+    """head :- body, negated; each atom is (relation, variables and literals). Negated relations must be of an earlier stratum."""
+
+    head: Atom
+    body: tuple[Atom, ...]
+    without: tuple[Atom, ...] = ()
+
+
+def _variables(terms) -> list[str]:
+    return list(dict.fromkeys(t for t in terms if not isinstance(t, Lit)))
 
-    head: tuple[str, tuple[str, ...]]
-    body: tuple[tuple[str, tuple[str, ...]], ...]
-    without: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+def _rows(facts: DataFrame, terms) -> DataFrame:
+    """The distinct bindings of an atom's variables: literals and repeated variables are filters."""
+    facts = facts.toDF(*[f"_{i}" for i in range(len(terms))])
+    at: dict[str, int] = {}
+    for i, t in enumerate(terms):
+        if isinstance(t, Lit):
+            facts = facts.where(F.col(f"_{i}") == F.lit(t.value))
+        elif t in at:
+            facts = facts.where(F.col(f"_{i}") == F.col(f"_{at[t]}"))
+        else:
+            at[t] = i
+    return facts.select(*[F.col(f"_{i}").alias(v) for v, i in at.items()])
+
+
+def _derive(rule: Rule, known: dict[str, DataFrame], fresh: int | None = None, delta: DataFrame | None = None) -> DataFrame:
+    """What a rule gives, with the atom at place `fresh` read from the last round's facts; atoms that share most variables with those before come first."""
+    todo = list(range(len(rule.body)))
+    here = fresh if fresh is not None else 0
+    out, bound = None, set()
+    while todo:
+        name, terms = rule.body[here]
+        atom = _rows(delta if here == fresh else known[name], terms)
+        shared = sorted(bound & {*_variables(terms)})
+        if out is not None and not shared:
+            raise ValueError("a body's atoms must share variables")
+        out = atom if out is None else out.join(atom, shared)
+        bound |= {*_variables(terms)}
+        todo.remove(here)
+        if todo:
+            here = max(todo, key=lambda i: (len(bound & {*_variables(rule.body[i][1])}), -i))
+    for name, terms in rule.without:
+        if name in known:
+            out = out.join(_rows(known[name], terms), _variables(terms), "anti")
+    return out.select(*[(F.lit(t.value) if isinstance(t, Lit) else F.col(t)).alias(f"c{i}") for i, t in enumerate(rule.head[1])]).distinct()
 
 
 def _strata(rules: list[Rule]) -> list[list[Rule]]:
@@ -34,42 +84,47 @@ def _strata(rules: list[Rule]) -> list[list[Rule]]:
 
 
 def saturate(facts: dict[str, DataFrame], rules: list[Rule], cap: int = 10_000) -> dict[str, DataFrame]:
-    """All facts that follow, by relation. Facts of a round join at its end; more than `cap` rounds raise. Columns are c0, c1, ..."""
+    """All facts that follow, by relation. Facts of a round join at its end; more than `cap` rounds raise. Columns are c0, c1, ...
+
+    Semi-naive: after a stratum's first round, a rule is joined once for each of its atoms of the stratum, which is read from
+    the facts that the last round brought, so old facts aren't derived again. A negated relation that isn't given is empty.
+    """
     for r in rules:
-        bound = {v for _, vs in r.body for v in vs}
-        if unsafe := ({*r.head[1]} | {v for _, vs in r.without for v in vs}) - bound:
+        bound = {v for _, vs in r.body for v in _variables(vs)}
+        if unsafe := ({*_variables(r.head[1])} | {v for _, vs in r.without for v in _variables(vs)}) - bound:
             raise ValueError(f"unbound in the body: {sorted(unsafe)}")
+        if any(not _variables(vs) for _, vs in r.without):
+            raise ValueError("a negated atom must hold a variable")
     known = dict(facts)
-
-    def derive(r: Rule) -> DataFrame:
-        out = None
-        for name, vs in r.body:
-            atom = known[name].toDF(*[f"{v}__{i}" for i, v in enumerate(vs)]).select(*[F.col(f"{v}__{i}").alias(v) for i, v in enumerate(vs)])
-            shared = [] if out is None else [v for v in vs if v in out.columns]
-            if out is not None and not shared:
-                raise ValueError("a body's atoms must share variables")
-            out = atom if out is None else out.join(atom, shared)
-        for name, vs in r.without:
-            out = out.join(known[name].toDF(*vs), list(vs), "anti")
-        return out.select(*[F.col(v).alias(f"c{i}") for i, v in enumerate(r.head[1])]).distinct()
-
     for stratum in _strata(rules):
+        heads = {r.head[0] for r in stratum}
+        delta: dict[str, DataFrame] | None = None
         for round_ in range(cap + 1):
-            fresh = {}
+            found: dict[str, DataFrame] = {}
             for r in stratum:
-                if not all(n in known for n, _ in r.body):
-                    continue
-                new = derive(r)
-                if r.head[0] in known:
-                    new = new.join(known[r.head[0]], new.columns, "anti")
-                fresh[r.head[0]] = new if r.head[0] not in fresh else fresh[r.head[0]].union(new).distinct()
-            fresh = {k: cut(v) for k, v in fresh.items()}
-            if all(v.isEmpty() for v in fresh.values()):
+                if delta is None:
+                    new = [_derive(r, known)] if all(n in known for n, _ in r.body) else []
+                else:
+                    new = [_derive(r, known, i, delta[n]) for i, (n, _) in enumerate(r.body) if n in heads and n in delta and all(m in known for m, _ in r.body)]
+                for rows in new:
+                    found[r.head[0]] = found[r.head[0]].union(rows) if r.head[0] in found else rows
+            fresh = {}
+            for name, rows in found.items():
+                rows = rows.distinct()
+                rows = cut(rows.join(known[name], rows.columns, "anti") if name in known else rows)
+                if not rows.isEmpty():
+                    fresh[name] = rows
+            for name, rows in fresh.items():
+                known[name] = cut(known[name].union(rows)) if name in known and round_ % 3 == 2 else known[name].union(rows) if name in known else rows
+            if not fresh:
                 break
             if round_ == cap:
                 raise RuntimeError(f"no fixpoint after {cap} rounds")
-            for k, v in fresh.items():
-                known[k] = cut(known[k].union(v)) if k in known else v
+            delta = fresh
+        # Heads that nothing was found for are relations without facts.
+        for r in stratum:
+            if r.head[0] not in known and all(n in known for n, _ in r.body):
+                known[r.head[0]] = cut(_derive(r, known))
     return known
 
 
