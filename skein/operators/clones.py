@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,45 @@ def common_classes(keys: DataFrame) -> DataFrame:
     return sets.join(found, "set").select("id", "class", "size", "n_keys")
 
 
+def row_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Least rows to replace, insert or delete between a and b, or most + 1 if more: runs of equal rows are skipped along few diagonals, whole arrays at a time."""
+
+    def run(i: int, k: int) -> int:
+        n = min(len(a) - i, len(b) - i - k)
+        differ = np.flatnonzero(a[i : i + n] != b[i + k : i + k + n])
+        return i + (int(differ[0]) if len(differ) else n)
+
+    goal = len(b) - len(a)
+    far = {0: run(0, 0)}
+    for dist in range(most + 1):
+        if far.get(goal, -1) == len(a):
+            return dist
+        ahead = {}
+        for k in range(-dist - 1, dist + 2):
+            i = max(far.get(k, -2) + 1, far.get(k - 1, -1), far.get(k + 1, -2) + 1)
+            i = min(i, len(a), len(b) - k)
+            if i >= max(0, -k):
+                ahead[k] = run(i, k)
+        far = ahead
+    return most + 1
+
+
+def aligned(pairs: DataFrame, bodies: DataFrame, most: int = 2, least_rows: int = 6) -> DataFrame:
+    """(a, b, dist, matched) of pairs (a, b) whose rows (id, lines) differ in 1 to `most` places: rows replaced, inserted or deleted.
+
+    matched, the longer body's rows less dist, is `least_rows` or more. Lines are compared by 64-bit hashes; bodies whose lengths rule the distance out are never compared.
+    """
+    rows = bodies.where("lines is not null").select("id", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines")).withColumn("n", F.size("lines"))
+    j = pairs.select("a", "b").join(rows.toDF("a", "x", "nx"), "a").join(rows.toDF("b", "y", "ny"), "b").where((F.abs(F.col("nx") - F.col("ny")) <= most) & (F.greatest("nx", "ny") > least_rows))
+
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([row_distance(a, b, most) for a, b in zip(x, y)], dtype="int32")
+
+    j = j.select("a", "b", F.greatest("nx", "ny").alias("rows"), distance("x", "y").alias("dist")).where(F.col("dist").between(1, most))
+    return j.select("a", "b", "dist", (F.col("rows") - F.col("dist")).alias("matched")).where(F.col("matched") >= least_rows)
+
+
 def postings(mentions: DataFrame) -> DataFrame:
     """Of each name (file, name): in how many files, the first and the last."""
     return mentions.distinct().groupBy("name").agg(F.count("*").alias("n_files"), F.min("file").alias("first"), F.max("file").alias("last"))
