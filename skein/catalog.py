@@ -265,7 +265,7 @@ def clones_exact(spark, sf):
 r AS (SELECT doc_id, sha256(array_to_string(lines[i:i + 2], chr(10))) AS run FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM l WHERE len(lines) >= 3))
 SELECT run, count(*) AS n_places, count(DISTINCT doc_id) AS n_bodies, min(doc_id) AS first FROM r GROUP BY 1 HAVING count(DISTINCT doc_id) > 1""")
 def clones_blocks(spark, sf):
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return clones.blocks(table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), lines.alias("lines")))
 
 

@@ -27,3 +27,10 @@ def test_large_groups_of_copies_are_linked(spark, tmp_path):
     assert pairs == plain | {(a, b, 2) for a, b in combinations(range(40), 2)} | {(a, 300, 1) for a in range(40)}
     classes = same_as_sql(spark, "clones_near_classes", str(tmp_path))
     assert classes == {(i, 0, 40, 2) for i in range(40)} | {(100 + i, 100, 70, 2) for i in range(70)}
+
+
+def test_block_lines_keep_digits_at_their_ends(spark, tmp_path):
+    lines = [f"{i} line {i}" for i in range(12)]
+    docs = [(0, "\n".join(lines), "en"), (1, "\n".join(["own"] + lines[3:9]), "en"), (2, " " + "\n ".join(lines[:4]), "en"), (3, None, "en"), (4, "", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(same_as_sql(spark, "clones_blocks", str(tmp_path))) == 6
