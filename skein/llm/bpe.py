@@ -70,11 +70,9 @@ class Merges:
             todo, at = todo[more], (at[more] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words, and how many each has. Words have 1 to LONGEST bytes; those of like lengths are merged together."""
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        data, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length
-        out, size = np.full((len(words), LONGEST), -1, np.int32), np.zeros(len(words), np.int64)
+    def encode(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words that begin there in data, and how many each has. Words have 1 to LONGEST bytes; those of like lengths are merged together."""
+        out, size = np.full((len(begin), LONGEST), -1, np.int32), np.zeros(len(begin), np.int64)
         with np.errstate(over="ignore"):
             for lo, hi in ((0, 6), (6, 10), (10, 16), (16, 24), (24, LONGEST)):
                 some = np.flatnonzero((length > lo) & (length <= hi))

@@ -82,15 +82,24 @@ def test_huffman(n):
         huffman.header(data[:-1])
 
 
-def test_words_are_encoded_as_in_whole_texts():
+@pytest.mark.parametrize("block, most", [(1 << 20, 3), (17, 40), (300, 500_000)])
+def test_words_are_encoded_as_in_whole_texts(monkeypatch, block, most):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = ["İstanbul KK ß ſ <|endoftext|> x<|EndOfText|>y don't we're 1.2.3, A1b2. (bar)!? a\x1cb é. —, 日本語。", "'s o'Re,", ""]
-    ids, n = token_files.WordIds(path, 1, most=3).encode([t.encode() for t in texts])
-    want = [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1] for t in texts]
-    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+    rng, tokenizer = np.random.default_rng(5), Tokenizer.from_file(path)
+    letters = [*"abzAZ019 \t\n\x0b\x1c\x00.,-_^'<|>\u0301\u00a0\u0085\u2028éÉß÷×ÿÀŸİſKª日", "'s", "'LL", " l'", "<|endoftext|>", "<|StartOfText|>", "abcdefghijklm"]
+    texts += ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(1500)]
+    monkeypatch.setattr(token_files, "BLOCK", block)
+    data = [t.encode() for t in texts]
+    at = np.cumsum([0, *map(len, data)])
+    encoder = token_files.WordIds(path, 1, most=most)
+    for _ in range(2):
+        ids, n = encoder.encode(np.frombuffer(b"".join(data), np.uint8), at)
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
 
 
 def test_licences(docs, none):
@@ -177,6 +186,8 @@ def test_merges_equal_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, rng = Tokenizer.from_file(path), np.random.default_rng(8)
     words = ["".join(rng.choice(list("abcdeéñüst"), rng.integers(1, 20))) for _ in range(2000)] + ["a", "aaaaaaaaaaaa", "é"]
-    ids, size = token_files.Merges.of(path).encode([w.encode() for w in words])
+    data = [w.encode() for w in words]
+    length = np.array([len(w) for w in data])
+    ids, size = token_files.Merges.of(path).encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum(length) - length, length)
     want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
     assert ids.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]
