@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.catalog import PRELUDE
-from skein.operators import flow, reach
+from skein.operators import flow, reach, slices
 from skein.plans.rules import Rule, saturate
 from skein.sources.graph import from_star
 
@@ -126,3 +126,10 @@ def loop_cost_graph(spark, sf):
 SELECT root, node, root AS idom, 1 AS depth FROM l1 UNION ALL SELECT root, node, CASE WHEN n > 1 THEN root ELSE via END, CASE WHEN n > 1 THEN 1 ELSE 2 END FROM l2""")
 def dominators_graph(spark, sf):
     return flow.dominators(_edges(spark, sf), from_star(spark, sf).nodes.where("entry is not null").select(F.col("id").alias("root")))
+
+
+# A node's layer is its file.
+@query(_EDGES + """ SELECT CASE WHEN ba > ab THEN b ELSE a END AS upper, CASE WHEN ba > ab THEN a ELSE b END AS lower, greatest(ab, ba) AS forward, least(ab, ba) AS backward, least(ab, ba) > 0 AND 4 * least(ab, ba) <= greatest(ab, ba) AS violation FROM (
+  SELECT least(x.file, y.file) AS a, greatest(x.file, y.file) AS b, count(*) FILTER (x.file < y.file) AS ab, count(*) FILTER (x.file > y.file) AS ba FROM we JOIN nodes x ON src = x.id JOIN nodes y ON dst = y.id WHERE x.file <> y.file GROUP BY 1, 2)""")
+def layering_matrix_graph(spark, sf):
+    return slices.layering(_edges(spark, sf), from_star(spark, sf).nodes.select("id", "file"))
