@@ -1,4 +1,5 @@
 import copy
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,28 @@ def test_long_repeated_and_clashing_rows(spark):
     few = toxicity.fit(docs.repartition(9), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"), sample_words=2000)
     again = toxicity.fit(docs.coalesce(1), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"), sample_words=2000)
     assert np.array_equal(few["add"], again["add"])
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    ids = [i for i in range(26_000) if zlib.crc32(str(i).encode()) % 3 != 1][:16_000]
+    docs = spark.createDataFrame([(i, f"rare{k % 800}") for k, i in enumerate(ids)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int"), epochs=1)
+    data, at = columns(pa.array([f"rare{k}" for k in range(800)]))
+    assert (model["row"][toxicity.features(Words(data, at, ALNUM))[0]] > 0).all()
+
+
+def test_shards_are_averaged_alike_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 64)
+    rows = [(i, f"some words {i % 7} here and {'vile' if i % 4 == 0 else 'kind'} end") for i in range(900)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(900)], "doc_id long, toxic int")
+    one, many = toxicity.fit(docs.coalesce(1), labels), toxicity.fit(docs.repartition(7), labels.repartition(5))
+    assert np.array_equal(one["add"], many["add"]) and np.array_equal(one["threshold"], many["threshold"])
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in toxicity.score(docs, one).collect())
+
+
+def test_thresholds_count_every_row_of_a_bin():
+    rng = np.random.default_rng(6)
+    x, language, n = rng.integers(-30, 30, 200) / 10, rng.integers(0, 5, 200), rng.integers(1, 9, 200)
+    y = (x + rng.normal(0, 1, 200) > 0.5).astype(int)
+    every = [np.repeat(v, n) for v in (x, language, y)]
+    assert np.allclose(toxicity._thresholds(x, language, y, n), toxicity._thresholds(*every, np.ones(n.sum(), int)))
