@@ -2,52 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.reach import ROUNDS
-from skein.plans.lineage import cut
-
-
-def spread(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """All distinct rows that follow from the seed: `step` takes a round's new rows only. Raises after `rounds`."""
-    front = seen = cut(seed.distinct())
-    done = 0
-    while not front.isEmpty():
-        done += 1
-        if done > rounds:
-            raise RuntimeError(f"no end after {rounds} rounds")
-        front = cut(step(front).select(*seen.columns).distinct().join(seen, seen.columns, "anti"))
-        seen = seen.union(front)
-        if done % 3 == 0:
-            seen = cut(seen)
-    return seen
+from skein.operators.reach import ROUNDS, travel, unique
+from skein.plans.lineage import cut, stage
 
 
 def live(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
     """(node, var) live at a node's entry: used there, or live after it and not defined in it. uses and defs are (node, var)."""
+    defs = defs.select("node", "var")
+    moved, loose = travel(uses.select("node", "var"), _back(edges), enter=lambda facts: facts.join(defs, ["node", "var"], "anti"))
+    return moved.select("node", "var").union(unique(loose.select("node", "var")))
 
-    def back(front: DataFrame) -> DataFrame:
-        above = front.join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "var")
-        return above.join(defs, ["node", "var"], "anti")
 
-    return spread(uses.select("node", "var"), back)
+def _back(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def reaching(edges: DataFrame, defs: DataFrame) -> DataFrame:
     """(node, var, def): definitions that reach a node's entry; defs (node, var) end other definitions of their variable."""
-    ahead = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
-    start = defs.join(ahead, "node").select(F.col("_to").alias("node"), "var", F.col("node").alias("def"))
-    return spread(start, lambda front: front.join(defs, ["node", "var"], "anti").join(ahead, "node").select(F.col("_to").alias("node"), "var", "def"))
+    defs = defs.select("node", "var")
+    moved, loose = travel(defs.select("node", "var", F.col("node").alias("def")), edges, leave=lambda facts: facts.join(defs, ["node", "var"], "anti").select(*facts.columns), counted=False)
+    return moved.select("node", "var", "def").union(unique(loose.select("node", "var", "def")))
 
 
 def effects(edges: DataFrame, own: DataFrame) -> DataFrame:
     """(fn, kind, key, tier): own effects and those of callees, of each key the smallest tier (1 unguarded, 2 guarded, 3 set once)."""
-    up = edges.select(F.col("src").alias("_up"), F.col("dst").alias("fn"))
-    every = spread(own.select("fn", "kind", "key", "tier"), lambda front: front.join(up, "fn").select(F.col("_up").alias("fn"), "kind", "key", "tier"))
-    return every.groupBy("fn", "kind", "key").agg(F.min("tier").alias("tier"))
+    moved, loose = travel(own.select(F.col("fn").alias("node"), "kind", "key", "tier"), _back(edges))
+    every = moved.union(loose).select(F.col("node").alias("fn"), "kind", "key", "tier")
+    return every.repartition("fn", "kind", "key").groupBy("fn", "kind", "key").agg(F.min("tier").alias("tier"))
 
 
 def purity(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -61,9 +45,9 @@ def purity(nodes: DataFrame, found: DataFrame) -> DataFrame:
 def tainted(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitisers: DataFrame) -> DataFrame:
     """(source, sink) that input reaches over one hop or more without passing a sanitiser. The others are tables of (node)."""
     open_ = edges.join(sanitisers.select(F.col("node").alias("dst")), "dst", "anti").select("src", "dst")
-    start = sources.join(open_, F.col("node") == F.col("src")).select(F.col("src").alias("source"), F.col("dst").alias("node"))
-    every = spread(start, lambda front: front.join(open_, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")))
-    return every.join(sinks, "node", "semi").select("source", F.col("node").alias("sink"))
+    moved, loose = travel(sources.select("node", F.col("node").alias("source")), open_, counted=False)
+    found = (x.join(sinks.select("node"), "node", "semi").select("source", F.col("node").alias("sink")) for x in (moved, loose))
+    return next(found).union(unique(next(found)))
 
 
 def loop_depth(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -85,29 +69,46 @@ def loop_depth(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> Data
 def dominators(edges: DataFrame, roots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(root, node, idom, depth): of each node that a root reaches, the nearest node that all paths from the root pass.
 
+    Nodes that no edge leaves, mostly nearly all, lie on no path to others, so chains of dominators are sought for the other nodes alone.
+    What dominates a node without edges is what the chains of all that lead to it start with: chains are paths in a tree, and what the first
+    and the last of them in order share, all between share. So only those two are kept of any number.
+    """
+    edges = edges.where("src <> dst").select("src", "dst")
+    more = edges.select(F.col("src").alias("dst")).distinct().withColumn("inner", F.lit(True))
+    ends = stage(edges.join(more, "dst", "left").select("src", "dst", "inner"))
+    chain = _chains(ends.where("inner").select("src", "dst"), roots, rounds)
+    met = chain.join(ends.where("inner is null"), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), "chain").repartition("root", "node")
+    per = met.groupBy("root", "node").agg(F.min("chain").alias("a"), F.max("chain").alias("b"))
+    parts = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    shared = F.when(parts == 0, F.size("a")).otherwise(parts - 1).cast("long")
+    outer = per.select("root", "node", "a", shared.alias("depth")).select("root", "node", F.element_at("a", F.col("depth").cast("int")).alias("idom"), "depth")
+    return chain.where("size(chain) > 1").select("root", "node", F.element_at("chain", -2).alias("idom"), (F.size("chain") - 1).cast("long").alias("depth")).union(outer)
+
+
+def _chains(edges: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:
+    """(root, node, chain): from the root to the node, all that each path passes.
+
     A node's chain starts as a shortest path to it, on which all its dominators stand in order. An edge then strikes
     from its end's chain what its source's chain lacks; chains only shrink, and where no edge strikes any more they
     are the dominators. A struck list is no longer than its chain, so nothing is gathered.
     """
-    edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    front = chain = cut(roots.select("root", F.col("root").alias("node"), F.array("root").alias("chain")).distinct())
+    front = chain = stage(roots.select("root", F.col("root").alias("node"), F.array("root").alias("chain")).distinct())
     for done in range(1, rounds + 1):
         met = front.join(edges, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min("chain").alias("chain"))
-        front = cut(met.join(chain, ["root", "node"], "anti").select("root", "node", F.concat("chain", F.array("node")).alias("chain")))
+        front = stage(met.join(chain, ["root", "node"], "anti").select("root", "node", F.concat("chain", F.array("node")).alias("chain")))
         if front.isEmpty():
             break
         chain = chain.union(front)
-        if done % 3 == 0:
-            chain = cut(chain)
-    chain = cut(chain)
+        if done % 8 == 0:
+            chain = stage(chain)
     for _ in range(rounds):
         above = chain.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.col("chain").alias("_above"))
-        lost = chain.join(above, ["root", "node"]).select("root", "node", F.explode(F.array_except("chain", F.concat("_above", F.array("node")))).alias("_gone"))
-        struck = cut(lost.groupBy("root", "node").agg(F.collect_set("_gone").alias("_struck")))
+        lost = chain.where("size(chain) > 2").join(above, ["root", "node"]).select("root", "node", F.explode(F.array_except("chain", F.concat("_above", F.array("node")))).alias("_gone"))
+        struck = stage(lost.groupBy("root", "node").agg(F.collect_set("_gone").alias("_struck")))
         if struck.isEmpty():
-            return chain.where("size(chain) > 1").select("root", "node", F.element_at("chain", -2).alias("idom"), (F.size("chain") - 1).cast("long").alias("depth"))
+            return chain
         kept = F.when(F.col("_struck").isNull(), F.col("chain")).otherwise(F.array_except("chain", "_struck"))
-        chain = cut(chain.join(struck, ["root", "node"], "left").select("root", "node", kept.alias("chain")))
+        chain = stage(chain.join(struck, ["root", "node"], "left").select("root", "node", kept.alias("chain")))
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
