@@ -46,12 +46,13 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(ref, id, how) of durable references (ref, file, kind, name, witness, ordinal) to nodes (id, file, kind, name, witness, ordinal).
 
     The only node of that file, kind and name; else the only one with the witness; else the one of the ordinal; else ambiguous or missing.
+    Nodes are counted by what a reference compares before they meet any, so references and nodes of one name make no pairs.
     """
     on = ["file", "kind", "name"]
-    found = refs.join(nodes.select("id", *on, F.col("witness").alias("_w"), F.col("ordinal").alias("_o")), on, "left")
-    only = lambda test: (F.count(F.when(test, F.col("id"))), F.min(F.when(test, F.col("id"))))
-    (n, first), (nw, firstw), (no, firsto) = only(F.col("id").isNotNull()), only(F.col("witness") == F.col("_w")), only(F.col("ordinal") == F.col("_o"))
-    per = found.groupBy("ref").agg(n.alias("n"), first.alias("i"), nw.alias("nw"), firstw.alias("iw"), no.alias("no"), firsto.alias("io"))
+    found = refs.select("ref", *on, "witness", "ordinal")
+    for by, n, first in ((on, "n", "i"), ([*on, "witness"], "nw", "iw"), ([*on, "ordinal"], "no", "io")):
+        found = found.join(nodes.groupBy(*by).agg(F.count("id").alias(n), F.min("id").alias(first)), by, "left")
+    per = found.groupBy("ref").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "nw", "no")], *[F.min(c).alias(c) for c in ("i", "iw", "io")])
     how = F.when(F.col("n") == 1, "name").when(F.col("nw") == 1, "witness").when(F.col("no") == 1, "ordinal").when(F.col("n") > 1, "ambiguous").otherwise("missing")
     pick = F.when(F.col("n") == 1, F.col("i")).when(F.col("nw") == 1, F.col("iw")).when(F.col("no") == 1, F.col("io"))
     return per.select("ref", pick.alias("id"), how.alias("how"))

@@ -53,3 +53,9 @@ MOST = {"cone_out_graph": 5.5, "cone_in_graph": 5.3, "territory_graph": 37, "ter
 def test_rows_shuffled_for_a_row_of_the_result(spark, name):
     n, rows = shuffled(spark, lambda: __spark_entry__.queries()[name](spark, SF).count())
     assert rows <= MOST[name] * n
+
+
+def test_references_of_one_name_make_no_pairs(spark):
+    n = spark.range(400).selectExpr("cast(id as string) id", "'f' file", "'k' kind", "'x' name", "id % 3 witness", "cast(id + 1 as int) ordinal")
+    got = lookups.resolve_refs(n.withColumnRenamed("id", "ref"), n)
+    assert made(got) <= 2000 and {tuple(r) for r in got.collect()} == {(str(i), str(i), "ordinal") for i in range(400)}
