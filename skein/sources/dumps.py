@@ -17,19 +17,30 @@ DUMP = f"nodes array<struct<{NODE}>>, edges array<struct<{EDGE}>>, calls array<s
 def dump_lines(graph: Graph) -> DataFrame:
     """(value): the graph with one record a line, each a document of its own, so that readers may split it anywhere."""
     parts = []
-    for name, ddl, rows in (("nodes", NODE, graph.nodes), ("edges", EDGE, graph.edges), ("calls", CALL, graph.calls)):
+    for (name, ddl), rows in zip(PARTS.items(), (graph.nodes, graph.edges, graph.calls)):
         record = F.struct(*[F.col(c.split()[0]) for c in ddl.split(", ")])
         parts.append(rows.select(F.to_json(F.struct(F.array(record).alias(name))).alias("value")))
     return parts[0].union(parts[1]).union(parts[2])
 
 
+PARTS = {"nodes": NODE, "edges": EDGE, "calls": CALL}
+
+
 def _parsed(documents: DataFrame) -> Graph:
-    return Graph(*[documents.select(F.inline(name)) for name in ("nodes", "edges", "calls")])
+    return Graph(*[documents.select(F.inline(name)) for name in PARTS])
 
 
 def from_lines(lines: DataFrame) -> Graph:
-    """The graph of (value) lines; a line that isn't JSON raises, a missing part is empty."""
-    return _parsed(lines.where("trim(value) <> ''").select(F.from_json("value", DUMP, {"mode": "FAILFAST"}).alias("d")).select("d.*"))
+    """The graph of (value) lines; a line that isn't JSON raises, a missing part is empty. A part's values are read, and raise, with that part.
+
+    There is no filter on lines, and the outer explode makes none on parsed parts, for which Spark would make or parse a line once more or twice.
+    """
+    full = F.when(F.trim("value") != "", F.col("value"))
+    parts = []
+    for name, ddl in PARTS.items():
+        rows = lines.select(F.from_json(full, f"{name} array<struct<{ddl}>>", {"mode": "FAILFAST"}).alias("d")).select(F.posexplode_outer(f"d.{name}").alias("_at", "_row"))
+        parts.append(rows.where("_at is not null").select("_row.*"))
+    return Graph(*parts)
 
 
 def read_dump(spark: SparkSession, path: str, document: bool = False) -> Graph:

@@ -59,3 +59,10 @@ def test_references_of_one_name_make_no_pairs(spark):
     n = spark.range(400).selectExpr("cast(id as string) id", "'f' file", "'k' kind", "'x' name", "id % 3 witness", "cast(id + 1 as int) ordinal")
     got = lookups.resolve_refs(n.withColumnRenamed("id", "ref"), n)
     assert made(got) <= 2000 and {tuple(r) for r in got.collect()} == {(str(i), str(i), "ordinal") for i in range(400)}
+
+
+def test_filters_parse_no_line(spark):
+    g = dumps.from_lines(dumps.dump_lines(from_star(spark, SF)))
+    for part in (g.nodes, g.edges, g.calls):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "json" in line.lower()]
