@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.reach import closure
+from skein.operators.reach import closure, travel, unique
 from skein.plans.lineage import cut
 
 
@@ -83,6 +83,28 @@ def _strata(rules: list[Rule]) -> list[list[Rule]]:
     raise ValueError("a relation depends on its own negation")
 
 
+def _walk(stratum: list[Rule], known: dict[str, DataFrame]) -> DataFrame | None:
+    """The facts of a stratum that only follows edges, p(x, y) :- e(x, y) and p(x, z) :- p(x, y), e(y, z) of a relation not given, else None."""
+    if len(stratum) != 2 or any(r.without or any(isinstance(t, Lit) for _, ts in (r.head, *r.body) for t in ts) for r in stratum):
+        return None
+    base, more = sorted(stratum, key=lambda r: len(r.body))
+    if len(base.body) != 1 or len(more.body) != 2 or base.head[0] != more.head[0] or base.head[0] in known:
+        return None
+    (e, ends), p = base.body[0], base.head[0]
+    atoms = dict(more.body)
+    if e not in known or {*atoms} != {p, e} or len(ends) != 2 or len({*ends}) != 2 or base.head[1] != ends:
+        return None
+    if len(more.head[1]) != 2 or len(atoms[p]) != 2 or len(atoms[e]) != 2:
+        return None
+    (x, y), (y2, z) = atoms[p], atoms[e]
+    if y != y2 or len({x, y, z}) != 3 or more.head[1] != (x, z):
+        return None
+    edges = known[e].toDF("src", "dst").where("src is not null and dst is not null")
+    moved, loose = travel(edges.select(F.col("src").alias("node"), F.col("src").alias("root")).distinct(), edges, counted=False)
+    every = moved.select(F.col("root").alias("c0"), F.col("node").alias("c1")).union(unique(loose.select(F.col("root").alias("c0"), F.col("node").alias("c1"))))
+    return every
+
+
 def saturate(facts: dict[str, DataFrame], rules: list[Rule], cap: int = 10_000) -> dict[str, DataFrame]:
     """All facts that follow, by relation. Facts of a round join at its end; more than `cap` rounds raise. Columns are c0, c1, ...
 
@@ -98,6 +120,10 @@ def saturate(facts: dict[str, DataFrame], rules: list[Rule], cap: int = 10_000)
     known = dict(facts)
     for stratum in _strata(rules):
         heads = {r.head[0] for r in stratum}
+        walk = _walk(stratum, known)
+        if walk is not None:
+            known[stratum[0].head[0]] = walk
+            continue
         delta: dict[str, DataFrame] | None = None
         for round_ in range(cap + 1):
             found: dict[str, DataFrame] = {}

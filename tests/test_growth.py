@@ -46,7 +46,7 @@ def made(df):
 
 
 #: By query, the shuffled rows for each row of the result.
-MOST = {"cone_out_graph": 5.5, "cone_in_graph": 5.3, "territory_graph": 37, "territory_borders_graph": 40, "scc_levels_graph": 60, "scc_components_graph": 31, "purity_labels": 90, "dominators_graph": 6, "reaching_definitions_graph": 3.4, "taint_reach_graph": 25, "effects_summary_graph": 4.5, "concerns_graph": 35, "region_order": 34}
+MOST = {"cone_out_graph": 5.5, "cone_in_graph": 5.3, "territory_graph": 37, "territory_borders_graph": 40, "scc_levels_graph": 60, "scc_components_graph": 31, "purity_labels": 90, "dominators_graph": 6, "reaching_definitions_graph": 3.4, "taint_reach_graph": 25, "effects_summary_graph": 4.5, "concerns_graph": 35, "region_order": 34, "saturate_paths_graph": 4}
 
 
 @pytest.mark.parametrize("name", sorted(MOST))
