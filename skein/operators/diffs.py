@@ -27,9 +27,12 @@ def coupling(touched: DataFrame, least: int = 2) -> DataFrame:
     Pairs are made within a commit only, whose size bounds them; commits with more symbols than a change by hand has are
     mass edits and are left to the caller to filter.
     """
-    t = touched.distinct()
+    n = int(touched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = touched.select("commit", "symbol").repartition(n, "commit").distinct()
     solo = t.groupBy(F.col("symbol").alias("a")).agg(F.count("*").alias("solo"))
-    pairs = t.alias("x").join(t.alias("y"), "commit").where("x.symbol < y.symbol").groupBy(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b")).agg(F.count("*").alias("together")).where(F.col("together") >= least)
+    # Hardly two pairs of a task are equal, so pairs are dealt out before they are counted, to partitions that Spark doesn't join again.
+    pairs = t.alias("x").join(t.alias("y"), "commit").where("x.symbol < y.symbol").select(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b")).repartition(n, "a", "b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
     return pairs.join(solo, "a").select("a", "b", "together", (F.col("together") / F.col("solo")).alias("confidence"))
 
 

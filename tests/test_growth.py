@@ -66,3 +66,9 @@ def test_filters_parse_no_line(spark):
     for part in (g.nodes, g.edges, g.calls):
         plan = part._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Filter" in line and "json" in line.lower()]
+
+
+def test_rows_are_dealt_out_before_they_are_counted(spark):
+    pairs = diffs.coupling(spark.range(9).select(F.col("id").alias("commit"), F.col("id").alias("symbol")))
+    for df in (pairs, from_star(spark, SF).refs()):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
