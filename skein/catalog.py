@@ -123,7 +123,7 @@ def portability_diff(spark, sf):
 
 
 def _mentions(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "lang", F.explode(clones.words(F.col("text"))).alias("name"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "lang", F.explode(F.array_distinct(clones.words(F.col("text")))).alias("name"))
 
 
 @query("SELECT word AS name, count(DISTINCT doc_id) AS n_files, min(doc_id) AS first, max(doc_id) AS last FROM words GROUP BY 1")
@@ -133,7 +133,10 @@ def mentions_postings(spark, sf):
 
 @query("SELECT lang, word AS name, count(DISTINCT doc_id) AS n_files FROM words GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 1")
 def mentioning_in_scope(spark, sf):
-    return _mentions(spark, sf).groupBy("lang", "name").agg(F.countDistinct("file").alias("n_files")).where("n_files > 1")
+    # A document's words are distinct, so they are counted; only where ids repeat, files are told apart.
+    ids = table(spark, sf, "documents").groupBy("doc_id").count()
+    n = F.count("file") if ids.where("doc_id is not null and count > 1").isEmpty() else F.countDistinct("file")
+    return _mentions(spark, sf).groupBy("lang", "name").agg(n.alias("n_files")).where("n_files > 1")
 
 
 @query("SELECT callee, file, line, count(*) AS n_sites FROM calls GROUP BY 1, 2, 3")
